@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -17,8 +18,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        tree = Path(folder, "tree")
-        shutil.copytree(top, tree / top.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", tree))
+    folder = tempfile.mkdtemp(prefix=f"{top.name}-")  # the driver serves the archive from there as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    tree = Path(folder, "tree")
+    shutil.copytree(top, tree / top.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", tree))
     _shipped.add(app)
