@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import lines, packing, simhash, token_files
+from strandloom.llm import decontamination, fixity, licenses, lines, minhash, packing, simhash, token_files
 from strandloom.llm.common import table
 
 
@@ -19,25 +19,91 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.hexadecimal("bits").alias("fingerprint"), "component_id")
 
 
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a replica in which stated pages are cut short, lost or added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cut = F.when(F.pmod("page_id", F.lit(97)) == 5, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    kept = pages.where(F.pmod("page_id", F.lit(211)) != 7).withColumn("html", cut)
+    added = pages.where(F.pmod("page_id", F.lit(503)) == 11).withColumn("page_id", -F.col("page_id"))
+    return fixity.audit(fixity.manifest(pages), fixity.manifest(kept.unionByName(added)))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    named = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+_RECORD = "'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || coalesce(html, '') || crlf || crlf"
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+_WORDS = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+_BIGRAMS = "list_distinct([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)])"
+
 ORACLE_SQL = {
+    "op3_merkle_fixity": f"""
+WITH ends AS (SELECT chr(13) || chr(10) AS crlf),
+good AS (SELECT page_id, {_RECORD} AS r FROM pages, ends),
+copied AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN substring(html, 1, length(html) - 1) ELSE html END AS html FROM pages WHERE page_id % 211 <> 7
+  UNION ALL SELECT -page_id, url, html FROM pages WHERE page_id % 503 = 11),
+bad AS (SELECT page_id, {_RECORD} AS r FROM copied, ends),
+replicas AS (SELECT 1 AS side, * FROM good UNION ALL SELECT 2, * FROM bad),
+placed AS (
+  SELECT side, page_id AS id, floor(page_id / 1000)::BIGINT AS archive, strlen(r)::BIGINT AS size, sha256(r) AS hash FROM replicas),
+starts AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY side, archive ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM placed)
+SELECT id, coalesce(a.archive, b.archive) AS archive, id - 1000 * coalesce(a.archive, b.archive) AS slot,
+       CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' ELSE 'changed' END AS status,
+       a.start, a.size, b.start AS other_start, b.size AS other_size, a.hash AS sha256, b.hash AS other_sha256
+FROM (SELECT * FROM starts WHERE side = 1) a FULL JOIN (SELECT * FROM starts WHERE side = 2) b USING (id)
+WHERE a.hash IS DISTINCT FROM b.hash""",
+    "op6_license_scan": f"""
+WITH templates AS (
+  SELECT template, license, {_BIGRAMS} AS b FROM (SELECT *, {_WORDS.format("notice")} AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, notice))),
+lines AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+units AS (SELECT doc_id, line, unit FROM lines UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
+cut AS (SELECT doc_id, line, {_BIGRAMS} AS a FROM (SELECT doc_id, line, {_WORDS.format("unit")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100),
+scored AS (
+  SELECT doc_id, line::INT AS line, license, template::INT AS template, round(2 * len(list_intersect(a, b)) / (len(a) + len(b))::DOUBLE, 9) AS dice
+  FROM cut, templates WHERE len(a) BETWEEN 2.0 / 3 * len(b) - 1e-9 AND 1.5 * len(b) + 1e-9)
+SELECT * FROM scored WHERE dice >= 0.8 - 1e-9""",
+    "op8_decontamination": r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS win, least(len(w), 13) AS n FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+doc_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS i, w FROM doc_words, sizes WHERE len(w) >= n),
+found AS (SELECT p.doc_id, p.i, p.n, x.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) p JOIN windows x USING (win, n)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_line_dedup": """
 WITH lines AS (
-  SELECT doc_id, u.at, u.line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  SELECT doc_id, u.pos, u.line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-       LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS at) u),
+       LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) u),
 owners AS (SELECT k, min(doc_id) AS owner FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
 marked AS (SELECT l.*, o.k IS NOT NULL AND l.doc_id <> o.owner AS gone FROM lines l LEFT JOIN owners o USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
 }
 
