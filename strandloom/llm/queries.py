@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, fixity, licenses, lines, minhash, packing, simhash, token_files
+from strandloom.llm import decontamination, fixity, licenses, lines, minhash, packing, quality, simhash, token_files, toxicity
 from strandloom.llm.common import table
 
 
@@ -28,6 +28,24 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.manifest(pages), fixity.manifest(kept.unionByName(added)))
 
 
+def _fold(of: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    tagger = toxicity.train(docs, labels.where(_fold(3) != 1), "toxic")
+    scored = toxicity.score(docs, tagger)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"), F.size("__spans").alias("n_spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(_fold(4) != 2), "quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
