@@ -12,6 +12,7 @@ A null id never names a class; a class of null ids only has a null name. An empt
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,3 +112,112 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed:
 def hexadecimal(bits: str) -> Column:
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
+
+
+# Near copies by similarity: wider fingerprints propose, word shingles decide.
+
+#: Bits of the wide fingerprint in quarters of 32, and how many may differ between candidates. Up to 7 are found for certain by the anchors (one
+#: quarter differs in one bit at most); 8 to WIDE_MOST in most cases.
+WIDE_BITS, WIDE_MOST = 128, 24
+
+
+def wide_fingerprint(text: str) -> tuple[int, int]:
+    """Two signed longs of bits set in over half the weight of the 128-bit word hashes; a word weighs the root of its count."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return 0, 0
+    from xxhash import xxh3_128_digest
+
+    counts = Counter(words)
+    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, counts)), np.uint8).reshape(-1, 16)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    votes = np.zeros(WIDE_BITS, np.float32)
+    for at in range(0, len(weights), HASHES_AT_ONCE):
+        votes += weights[at : at + HASHES_AT_ONCE] @ np.unpackbits(hashes[at : at + HASHES_AT_ONCE], axis=1, bitorder="little").astype(np.float32)
+    a, b = np.packbits(votes * 2 > weights.sum(), bitorder="little").view("<i8")
+    return int(a), int(b)
+
+
+def _shingle_set(text: str, shingle: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """copies (doc_id, node): the least id with the same text; and pairs (a, b) of nodes whose shingles' Jaccard similarity is at least similarity.
+
+    Candidates meet at an anchor. In a bucket everyone is compared with its first member, those that differ too much with the first of the rest,
+    and what is still left with each other, so a large group of near copies gives as many pairs as it has members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            keys = np.frombuffer(b"".join(xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2)
+            wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.copy()) for x in (*keys.T, *wide.T)]], ["doc_id", "k1", "k2", "f1", "f2"])
+
+    texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
+    prints = materialized(texts.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long"))
+    nodes = materialized(prints.groupBy("k1", "k2", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                ids, f1, f2 = (c.to_numpy() for c in batch.slice(at, 10_000).columns)
+                for k, bits in enumerate((f1, f2)):
+                    rows, keys, _ = _anchors(bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys | k << 32, ids[rows], f1[rows], f2[rows])], ["anchor", "node", "f1", "f2"])
+
+    members = nodes.select("node", "f1", "f2").mapInArrow(cover, "anchor long, node long, f1 long, f2 long")
+    shared = members.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    left = materialized(members.join(shared, "anchor"))
+    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
+    found = []
+    for _ in range(2):
+        firsts = left.groupBy("anchor").agg(F.min(F.struct("node", "f1", "f2")).alias("first")).select("anchor", F.col("first.node").alias("leader"), F.col("first.f1").alias("g1"), F.col("first.f2").alias("g2"))
+        held = materialized(left.join(firsts, "anchor").where("node <> leader").select("anchor", "node", "f1", "f2", "leader", (apart <= WIDE_MOST).alias("near")))
+        found.append(held.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        left = held.where("not near").select("anchor", "node", "f1", "f2")
+    rest = left.select("anchor", F.col("node").alias("leader"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    found.append(left.join(rest, (left["anchor"] == rest["anchor"]) & (F.col("leader") < F.col("node")) & (apart <= WIDE_MOST)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    candidates = materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [_shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
+    hashed = materialized(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, one, other = batch.columns
+            keep = []
+            for x, y in zip(one.to_pylist(), other.to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
+    pairs = candidates.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
+    return prints.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node"), pairs
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that a row with a lesser id in their class of equal or similar texts makes redundant, with all columns.
+
+    Of rows that share an id too, all stay or all go. Rows with a null id stay.
+    """
+    copies, pairs = similar_pairs(docs, shingle, similarity, id_col, text_col)
+    roots = components(pairs)
+    gone = copies.join(roots, copies["node"] == roots["node"], "left").where(F.col("doc_id") > F.coalesce("root", copies["node"])).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
