@@ -12,6 +12,9 @@ _CODE = np.full(256, 4, np.uint8)
 _CODE[[65, 67, 71, 84]] = [0, 1, 2, 3]
 _COMPLEMENT = bytes.maketrans(b"ACGT", b"TGCA")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Hashes of k-mers that a Python worker keeps at most.
+MEMO = 2_000_000
+_memos: dict[tuple[str, int], dict[bytes, int]] = {}
 
 
 def _splitmix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -62,27 +65,28 @@ def kmer_hashes(seq: bytes, k: int, hash: str = "splitmix", seed: int = 42, only
     bad = np.concatenate([[0], np.cumsum(codes == 4)])
     known = bad[k:] == bad[:-k]
     if hash == "splitmix":
+        only_acgt = True
         forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         two = (codes & 3).astype(np.uint64)
         for i in range(k):
             forward = (forward << np.uint64(2)) | two[i : i + n]
             backward |= (np.uint64(3) - two[i : i + n]) << np.uint64(2 * i)
         one, other = _splitmix(forward, seed), _splitmix(backward, seed)
-        only_acgt = True
+        out = np.minimum(one, other)
+        out[one == other] = NONE
     else:
         by = {"md5_60": lambda x: int(hashlib.md5(x).hexdigest()[:15], 16), "murmur3": lambda x: murmur3_low32(x, seed)}[hash]
-        back = seq.translate(_COMPLEMENT)[::-1]
-        memo: dict[bytes, int] = {}
+        memo = _memos.setdefault((hash, seed), {})
+        if len(memo) > MEMO:
+            memo.clear()
 
         def of(x: bytes) -> int:
-            if x not in memo:
-                memo[x] = by(x)
-            return memo[x]
-
-        one = np.fromiter((of(seq[i : i + k]) for i in range(n)), np.uint64, n)
-        other = np.fromiter((of(back[i : i + k]) for i in range(n)), np.uint64, n)[::-1]
-    out = np.minimum(one, other)
-    out[one == other] = NONE
+            if (h := memo.get(x)) is None:
+                one, other = by(x), by(x.translate(_COMPLEMENT)[::-1])
+                h = memo[x] = min(one, other) if one != other else int(NONE)
+            return h
+
+        out = np.fromiter((of(seq[i : i + k]) for i in range(n)), np.uint64, n)
     if only_acgt:
         out[~known] = NONE
     return out

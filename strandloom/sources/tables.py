@@ -12,14 +12,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer partitions than there are (a small or single file); large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: language and source are the genome, the document is the contig."""
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     genome = F.concat_ws("/", "lang", "source")
     return docs.select(genome.alias("genome"), F.col("doc_id").alias("contig"), F.col("doc_id").cast("string").alias("name"), bases_of_text(F.col("text")).alias("seq"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, each a genome of one contig."""
-    items = load(spark, sf_dir, "benchmark")
+    items = spread(load(spark, sf_dir, "benchmark").select("item_id", "text"))
     return items.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("genome"), F.col("item_id").alias("contig"), F.col("item_id").cast("string").alias("name"), bases_of_text(F.col("text")).alias("seq"))
