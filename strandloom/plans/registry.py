@@ -206,11 +206,11 @@ def candidate_range_join(spark, sf_dir):
     return found.groupBy("item", "contig", "start", "end").agg(F.count("*").alias("n_minimizers"))
 
 
-@query(f"""WITH {_HITS}, spans AS (SELECT item, contig, min(pos) AS start, max(pos) AS "end" FROM hits GROUP BY item, contig, floor((pos - qpos) / 200.0) HAVING count(*) > 1)
+@query(f"""WITH {_HITS}, spans AS (SELECT item, contig, greatest(min(pos) - 100, 0) AS start, max(pos) + 100 AS "end" FROM hits GROUP BY item, contig, floor((pos - qpos) / 200.0))
 SELECT a.item, b.item AS other_item, a.contig, count(*) AS n FROM spans a JOIN spans b ON a.contig = b.contig AND a.item < b.item AND a.start <= b."end" AND b.start <= a."end" GROUP BY ALL""")
 def interval_overlap_join(spark, sf_dir):
-    spans = seeds.diagonals(_hits(spark, sf_dir), ["item", "contig"], 200).groupBy("item", "contig", "bin").agg(F.count("*").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("end"))
-    found = spans.where("n > 1").select("item", "contig", "start", "end")
+    spans = seeds.diagonals(_hits(spark, sf_dir), ["item", "contig"], 200).groupBy("item", "contig", "bin").agg(F.greatest(F.min("pos") - 100, F.lit(0)).alias("start"), (F.max("pos") + 100).alias("end"))
+    found = spans.select("item", "contig", "start", "end")
     others = found.select("contig", F.col("item").alias("other_item"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
     return intervals.overlapping(found, others, ["contig"], 256).where("item < other_item").groupBy("item", "other_item", "contig").agg(F.count("*").alias("n"))
 
