@@ -25,10 +25,28 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of whole texts that go to Python at a time, where the session leaves Spark's default.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in smaller batches than Spark's default of 10,000 rows, so that an executor's memory holds for long texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def slices(batches, rows: int = 500):
+    """The batches in smaller ones, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under its own names, so that further columns can't clash; null texts are empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

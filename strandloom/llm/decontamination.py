@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts
+from strandloom.llm.common import ids_and_texts, slices, small_batches
 
 #: A-Z to lower case; digits, letters and all bytes from 0x80 on stay; anything else parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -139,9 +139,11 @@ def _probes(texts: DataFrame, items: DataFrame, window: int, item_col: str, item
 def _found(source: DataFrame, probe, text_col: str) -> DataFrame:
     """source and its __words (how many), __hits (places) and __items."""
 
+    small_batches(source.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = probe.value.find
-        for batch in batches:
+        for batch in slices(batches):
             counts, hits, items = [], [], []
             for text in batch.column(batch.schema.names.index(text_col)).to_pylist():
                 words = words_of(text)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialized
+from strandloom.llm.common import materialized, slices, small_batches
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -136,7 +136,7 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, h1, h2: each document's different line keys, from rows with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {*_hashes(text.encode("utf-8", "surrogatepass").split(b"\n"), min_chars)} - {None}
@@ -197,11 +197,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
 
     With keep_columns, all columns of docs stay under their names, and a text that loses nothing stays as it was, null too.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = _drops(texts, min_chars)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.schema.names
             texts, n_lines, n_dropped = [], [], []
             for text, out in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__gone")).to_pylist()):

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts, materialized
+from strandloom.llm.common import ids_and_texts, materialized, slices
 from strandloom.llm.tokens import encoder
 
 #: Pieces that one task packs; its open bins are what a larger number would save.
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end, step = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches, 1_000):
             ids = batch.column(0).to_pylist()
             rows = []
             for doc_id, packed in zip(ids, ids_of(batch.column(1).to_pylist())):

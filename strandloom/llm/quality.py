@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import slices, small_batches
+
 STATISTICS = ("chars", "words", "word_chars", "lines", "line_chars", "upper", "digits", "stops", "symbols", "spaces", "different_words", "most_common_word", "repeated_lines", "capital_words", "marked_words", "long_words", "runs")
 #: Labelled rows that the fit takes at most, drawn by hash; trees, their depth, and the lasso's strength for each row.
 SAMPLE, TREES, DEPTH, LASSO = 8_000, 24, 3, 0.002
@@ -47,9 +49,10 @@ def statistics(text: str) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without its text, and the statistics as columns __<name>."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.names.index(text_col)
             rows = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
             kept = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if i != at]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts, shuffle_partitions, use_checkpoints
+from strandloom.llm.common import ids_and_texts, shuffle_partitions, slices, use_checkpoints
 from strandloom.llm.tokens import encoder
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 500_000
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches, 1_000):
             for doc_id, packed in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist())):
                 doc_ids.append(doc_id)
                 parts.append(packed + end)

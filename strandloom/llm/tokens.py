@@ -10,11 +10,12 @@ import struct
 #: White space that str.split, re and the tokenizers' \s may see differently: texts with such chunks are encoded uncut.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 BYTE_LEVEL_CHUNK = re.compile(r" ?[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+")
-SPACE_RUN = re.compile(r"[\0\t\v\f\r]|[ \n][ \n]|[ \n]\Z")
+#: Where a byte-level text's cuts are not simply before each space and around each line feed.
+SPACE_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\0")
 #: A word of letters whose class and case all sides agree on, perhaps after a space and before marks: two parts that need no splitting.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:-@\[-`{-~]{0,40})")
-#: The memo's bound, and the characters of text that are cut into chunks at a time.
-MEMO_WORDS, AT_ONCE = 1_000_000, 2_000_000
+#: The bound of each of the memo's two generations, and the characters of text that are cut into chunks at a time.
+MEMO_WORDS, AT_ONCE = 200_000, 2_000_000
 
 
 class Encoder:
@@ -42,6 +43,7 @@ class Encoder:
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in (first.get("pattern") or {}).get("Regex", ""):
             self.cut, self.lower = _spaced_chunks, True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.shown = _shown_bytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -61,10 +63,12 @@ class Encoder:
     def _encode_cut(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(text) for text in texts]
         if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        ids, hard, plain = {}, [], PLAIN.fullmatch
+            self.words, self.older = {}, self.words
+        ids, hard, plain, known = {}, [], PLAIN.fullmatch, self.words.get
         for chunk in {chunk for each in cut for chunk in each}:
-            if m := plain(chunk):
+            if (own := known(chunk)) is not None:
+                ids[chunk] = own
+            elif m := plain(chunk):
                 word, marks = m.groups()
                 ids[chunk] = self._word(word) + self._word(marks) if marks else self._word(word)
             else:
@@ -82,8 +86,10 @@ class Encoder:
         if self.lower:
             word = word.lower()
         if (ids := self.words.get(word)) is None:
-            shown = "".join([self.shown[b] for b in word.encode()])
-            ids = self.words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+            if (ids := self.older.get(word)) is None:
+                shown = "".join([self.shown[b] for b in word.encode()])
+                ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+            self.words[word] = ids
         return ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -102,7 +108,7 @@ def _spaced_chunks(text: str) -> list[str]:
 
 
 def _byte_level_chunks(text: str) -> list[str]:
-    if SPACE_RUN.search(text):
+    if text.endswith((" ", "\n")) or any(run in text for run in SPACE_RUNS):
         return BYTE_LEVEL_CHUNK.findall(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import slices, small_batches
+
 TOKEN = re.compile(r"[^\W\d_]+")
 SEQUENCE = 64
 #: Labelled rows of each kind that the fit takes at most; documents and sequences are drawn by hash.
-SAMPLE_A_KIND, MARKED_SEQUENCES, PLAIN_SEQUENCES = 2_000, 8_000, 8_000
+SAMPLE_A_KIND, MARKED_SEQUENCES, PLAIN_SEQUENCES = 1_200, 5_000, 5_000
 STEPS = 50
-MEMO = 400_000
+MEMO = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -221,18 +223,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 def score(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans_from: float = 0.5) -> DataFrame:
     """docs and __score (0 to 1) and __spans, the offsets of runs of tokens with marginals of at least spans_from: array of (start, end)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-                marginals = own.token_marginals([TOKEN.findall(t) for t in texts])
-                spans = [_spans(t, m >= spans_from) for t, m in zip(texts, marginals)]
-                batch = batch.append_column("__score", pa.array([own.score(m) for m in marginals], pa.float64()))
-                yield batch.append_column("__spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
+            marginals = own.token_marginals([TOKEN.findall(t) for t in texts])
+            spans = [_spans(t, m >= spans_from) for t, m in zip(texts, marginals)]
+            batch = batch.append_column("__score", pa.array([own.score(m) for m in marginals], pa.float64()))
+            yield batch.append_column("__spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}{', ' if fields else ''}__score double, __spans array<struct<start: int, end: int>>")
