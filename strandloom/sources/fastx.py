@@ -67,10 +67,10 @@ def read_ani_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").select("query", "reference", "ani")
 
 
-def read_truth_table(spark: SparkSession, path: str) -> DataFrame:
-    """genome1, genome2, query_length, subject_length, ani of a tab-parted table with a header."""
+def read_truth_table(spark: SparkSession, path: str, value_col: str) -> DataFrame:
+    """genome1, genome2, query_length, subject_length, ani (from value_col) of a tab-parted table with a header."""
     rows = spark.read.csv(path, sep="\t", header=True)
-    return rows.select("genome1", "genome2", F.col("query_length").cast("long").alias("query_length"), F.col("subject_length").cast("long").alias("subject_length"), F.col("orthoANI_value").cast("double").alias("ani"))
+    return rows.select("genome1", "genome2", F.col("query_length").cast("long").alias("query_length"), F.col("subject_length").cast("long").alias("subject_length"), F.col(value_col).cast("double").alias("ani"))
 
 
 BLAST_SCHEMA = "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, evalue double, bitscore double, qlen long, slen long, qcovhsp double"
