@@ -12,7 +12,6 @@ A null id never names a class; a class of null ids only has a null name. An empt
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts, materialized
+from strandloom.llm.common import ids_and_texts, materialized, slices
 from strandloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     """doc_id, bits: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = np.array([fingerprint(text, shingle, seed) for text in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "bits"])
 
@@ -121,21 +120,30 @@ def hexadecimal(bits: str) -> Column:
 WIDE_BITS, WIDE_MOST = 128, 24
 
 
-def wide_fingerprint(text: str) -> tuple[int, int]:
-    """Two signed longs of bits set in over half the weight of the 128-bit word hashes; a word weighs the root of its count."""
+def wide_fingerprint(text: str) -> tuple[int, int, int]:
+    """Two signed longs of bits set in over half the 128-bit hashes of the text's different words, and the number of different words."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0, 0
+        return 0, 0, 0
     from xxhash import xxh3_128_digest
 
-    counts = Counter(words)
-    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, counts)), np.uint8).reshape(-1, 16)
-    weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
-    votes = np.zeros(WIDE_BITS, np.float32)
-    for at in range(0, len(weights), HASHES_AT_ONCE):
-        votes += weights[at : at + HASHES_AT_ONCE] @ np.unpackbits(hashes[at : at + HASHES_AT_ONCE], axis=1, bitorder="little").astype(np.float32)
-    a, b = np.packbits(votes * 2 > weights.sum(), bitorder="little").view("<i8")
-    return int(a), int(b)
+    different = set(words)
+    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, different)), np.uint8).reshape(-1, 16)
+    votes = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        votes += np.unpackbits(hashes[at : at + HASHES_AT_ONCE], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")
+    return int(a), int(b), len(different)
+
+
+def _size_classes(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Two classes, often the same, for texts of n different words. Numbers that differ by a factor of 1 / similarity at most share one.
+
+    Texts whose numbers of different words are further apart have fingerprints that are too, as the angle between their sets of words is wide.
+    """
+    spread = np.log2(1 / max(similarity, 0.1)) / 2
+    logs = np.log2(np.maximum(n, 1))
+    return np.floor(np.stack([logs - spread, logs + spread], 1)).astype(np.int64) + 4
 
 
 def _shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -157,25 +165,28 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             keys = np.frombuffer(b"".join(xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2)
-            wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.copy()) for x in (*keys.T, *wide.T)]], ["doc_id", "k1", "k2", "f1", "f2"])
+            wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.copy()) for x in (*keys.T, *wide.T)]], ["doc_id", "k1", "k2", "f1", "f2", "size"])
 
     texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
-    prints = materialized(texts.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long"))
-    nodes = materialized(prints.groupBy("k1", "k2", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    prints = materialized(texts.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long, size long"))
+    nodes = materialized(prints.groupBy("k1", "k2", "f1", "f2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                ids, f1, f2 = (c.to_numpy() for c in batch.slice(at, 10_000).columns)
-                for k, bits in enumerate((f1, f2)):
-                    rows, keys, _ = _anchors(bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys | k << 32, ids[rows], f1[rows], f2[rows])], ["anchor", "node", "f1", "f2"])
-
-    members = nodes.select("node", "f1", "f2").mapInArrow(cover, "anchor long, node long, f1 long, f2 long")
+        for batch in slices(batches, 5_000):
+            ids, f1, f2, size = (c.to_numpy() for c in batch.columns)
+            low, high = _size_classes(size, similarity).T
+            for k, bits in enumerate((f1, f2)):
+                rows, keys, _ = _anchors(bits)
+                twice = np.flatnonzero((low != high)[rows])
+                keys = np.concatenate([keys | low[rows] << 34, keys[twice] | high[rows[twice]] << 34]) | k << 32
+                rows = np.concatenate([rows, rows[twice]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids[rows], f1[rows], f2[rows])], ["anchor", "node", "f1", "f2"])
+
+    members = nodes.select("node", "f1", "f2", "size").mapInArrow(cover, "anchor long, node long, f1 long, f2 long")
     shared = members.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     left = materialized(members.join(shared, "anchor"))
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
@@ -190,7 +201,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     candidates = materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [_shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
