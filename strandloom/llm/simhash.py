@@ -180,20 +180,23 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
             ids, f1, f2, size = (c.to_numpy() for c in batch.columns)
             low, high = _size_classes(size, similarity).T
             for k, bits in enumerate((f1, f2)):
-                rows, keys, _ = _anchors(bits)
+                rows, keys, homes = _anchors(bits)
                 twice = np.flatnonzero((low != high)[rows])
                 keys = np.concatenate([keys | low[rows] << 34, keys[twice] | high[rows[twice]] << 34]) | k << 32
-                rows = np.concatenate([rows, rows[twice]])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids[rows], f1[rows], f2[rows])], ["anchor", "node", "f1", "f2"])
+                rows, homes = np.concatenate([rows, rows[twice]]), np.concatenate([homes, homes[twice]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids[rows], f1[rows], f2[rows], homes)], ["anchor", "node", "f1", "f2", "home"])
 
-    members = nodes.select("node", "f1", "f2", "size").mapInArrow(cover, "anchor long, node long, f1 long, f2 long")
-    shared = members.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    left = materialized(members.join(shared, "anchor"))
+    members = nodes.select("node", "f1", "f2", "size").mapInArrow(cover, "anchor long, node long, f1 long, f2 long, home boolean")
+    first = F.min(F.struct("node", "f1", "f2")).alias("first")
+    shared = members.groupBy("anchor").agg(F.count("*").alias("n"), first).where("n > 1").select("anchor", "first")
+    left = materialized(members.where("home").drop("home").join(shared, "anchor"))  # a text is compared at its homes, where those near it are
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
     found = []
-    for _ in range(2):
-        firsts = left.groupBy("anchor").agg(F.min(F.struct("node", "f1", "f2")).alias("first")).select("anchor", F.col("first.node").alias("leader"), F.col("first.f1").alias("g1"), F.col("first.f2").alias("g2"))
-        held = materialized(left.join(firsts, "anchor").where("node <> leader").select("anchor", "node", "f1", "f2", "leader", (apart <= WIDE_MOST).alias("near")))
+    for turn in range(2):
+        if turn:
+            left = left.join(left.groupBy("anchor").agg(first), "anchor")
+        led = left.select("anchor", "node", "f1", "f2", F.col("first.node").alias("leader"), F.col("first.f1").alias("g1"), F.col("first.f2").alias("g2"))
+        held = materialized(led.where("node <> leader").select("anchor", "node", "f1", "f2", "leader", (apart <= WIDE_MOST).alias("near")))
         found.append(held.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b")))
         left = held.where("not near").select("anchor", "node", "f1", "f2")
     rest = left.select("anchor", F.col("node").alias("leader"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
