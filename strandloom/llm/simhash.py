@@ -13,6 +13,7 @@ A null id never names a class; a class of null ids only has a null name. An empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,103 +114,102 @@ def hexadecimal(bits: str) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-# Near copies by similarity: wider fingerprints propose, word shingles decide.
+# Near copies by similarity: a complete prefix filter on word shingles proposes, the exact sets decide.
 
-#: Bits of the wide fingerprint in quarters of 32, and how many may differ between candidates. Up to 7 are found for certain by the anchors (one
-#: quarter differs in one bit at most); 8 to WIDE_MOST in most cases.
-WIDE_BITS, WIDE_MOST = 128, 24
+#: One text in SAMPLED tells which shingles are common: those that COMMON_FROM of them or more hold, MOST_COMMON at most. These go last in the order of
+#: shingles. Any order finds all pairs; one that puts common shingles last proposes few others.
+SAMPLED, COMMON_FROM, MOST_COMMON = 8, 3, 500_000
+#: Rounds in which a bucket is compared with a leader, before those that are not yet linked there are compared with each other.
+LEADER_ROUNDS = 2
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def wide_fingerprint(text: str) -> tuple[int, int, int]:
-    """Two signed longs of bits set in over half the 128-bit hashes of the text's different words, and the number of different words."""
+def _shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different shingles' hashes in order; a text of fewer words is one shingle, a text without words has none."""
+    from xxhash import xxh64_intdigest
+
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0, 0, 0
-    from xxhash import xxh3_128_digest
+        return np.zeros(0, np.uint64)
+    hashes = np.array([*map(xxh64_intdigest, words)], np.uint64)
+    size = min(shingle, len(words))
+    places = len(words) - size + 1
+    total = np.full(places, size, np.uint64)
+    for k in range(size):
+        total = (total ^ (total >> np.uint64(29))) * _MIX[k % len(_MIX)] + hashes[k : k + places]
+    total = (total ^ (total >> np.uint64(32))) * _MIX[0]
+    return np.unique(total ^ (total >> np.uint64(29)))
 
-    different = set(words)
-    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, different)), np.uint8).reshape(-1, 16)
-    votes = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(hashes), HASHES_AT_ONCE):
-        votes += np.unpackbits(hashes[at : at + HASHES_AT_ONCE], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")
-    return int(a), int(b), len(different)
 
+def _set_hash(hashes: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
 
-def _size_classes(n: np.ndarray, similarity: float) -> np.ndarray:
-    """Two classes, often the same, for texts of n different words. Numbers that differ by a factor of 1 / similarity at most share one.
+    return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
-    Texts whose numbers of different words are further apart have fingerprints that are too, as the angle between their sets of words is wide.
-    """
-    spread = np.log2(1 / max(similarity, 0.1)) / 2
-    logs = np.log2(np.maximum(n, 1))
-    return np.floor(np.stack([logs - spread, logs + spread], 1)).astype(np.int64) + 4
 
-
-def _shingle_set(text: str, shingle: int) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, rare ones first. Of two sets of this similarity, both prefixes hold the first shingle that the sets share."""
+    if not len(hashes):
+        return hashes
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """copies (doc_id, node): the least id with the same text; and pairs (a, b) of nodes whose shingles' Jaccard similarity is at least similarity.
+    """copies (doc_id, node): the hash of the text's set of shingles; and pairs (a, b) of nodes whose shingles' Jaccard similarity is at least similarity.
 
-    Candidates meet at an anchor. In a bucket everyone is compared with its first member, those that differ too much with the first of the rest,
-    and what is still left with each other, so a large group of near copies gives as many pairs as it has members.
+    The pairs link all nodes that similar pairs link, directly or by a chain. Texts meet in a bucket for each shingle of their prefixes. Each bucket is
+    compared with a leader, in a further round with the member that has most links by then; those that no chain of verified pairs links are
+    compared with each other. A large group of near copies so gives about as many pairs as it has members.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is above 0 and at most 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        for batch in slices(batches):
+            keys = [_set_hash(_shingle_set(t, shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["doc_id", "node"])
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            keys = np.frombuffer(b"".join(xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2)
-            wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.copy()) for x in (*keys.T, *wide.T)]], ["doc_id", "k1", "k2", "f1", "f2", "size"])
+            sets = [_shingle_set(t, shingle).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
 
     texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
-    prints = materialized(texts.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long, size long"))
-    nodes = materialized(prints.groupBy("k1", "k2", "f1", "f2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5_000):
-            ids, f1, f2, size = (c.to_numpy() for c in batch.columns)
-            low, high = _size_classes(size, similarity).T
-            for k, bits in enumerate((f1, f2)):
-                rows, keys, homes = _anchors(bits)
-                twice = np.flatnonzero((low != high)[rows])
-                keys = np.concatenate([keys | low[rows] << 34, keys[twice] | high[rows[twice]] << 34]) | k << 32
-                rows, homes = np.concatenate([rows, rows[twice]]), np.concatenate([homes, homes[twice]])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids[rows], f1[rows], f2[rows], homes)], ["anchor", "node", "f1", "f2", "home"])
-
-    members = nodes.select("node", "f1", "f2", "size").mapInArrow(cover, "anchor long, node long, f1 long, f2 long, home boolean")
-    first = F.min(F.struct("node", "f1", "f2")).alias("first")
-    shared = members.groupBy("anchor").agg(F.count("*").alias("n"), first).where("n > 1").select("anchor", "first")
-    left = materialized(members.where("home").drop("home").join(shared, "anchor"))  # a text is compared at its homes, where those near it are
-    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    found = []
-    for turn in range(2):
-        if turn:
-            left = left.join(left.groupBy("anchor").agg(first), "anchor")
-        led = left.select("anchor", "node", "f1", "f2", F.col("first.node").alias("leader"), F.col("first.f1").alias("g1"), F.col("first.f2").alias("g2"))
-        held = materialized(led.where("node <> leader").select("anchor", "node", "f1", "f2", "leader", (apart <= WIDE_MOST).alias("near")))
-        found.append(held.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        left = held.where("not near").select("anchor", "node", "f1", "f2")
-    rest = left.select("anchor", F.col("node").alias("leader"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    found.append(left.join(rest, (left["anchor"] == rest["anchor"]) & (F.col("leader") < F.col("node")) & (apart <= WIDE_MOST)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    candidates = materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct())
+    copies = materialized(texts.mapInArrow(run, "doc_id long, node long"))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    counts = some.mapInArrow(sampled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    known = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    common, ranks = known["shingle"].to_numpy().astype(np.int64).view(np.uint64), known["n"].to_numpy().astype(np.int64)
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], ranks[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            out = []
+            for text in batch.column(0).to_pylist():
+                hashes = _shingle_set(text, shingle)
+                first = _prefix(hashes, *shared.value, similarity).view(np.int64)
+                out.append((first, np.full(len(first), _set_hash(hashes)), np.arange(len(first)), np.full(len(first), len(hashes))))
+            bucket, node, place, size = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32))], ["bucket", "node", "place", "size"])
+
+    members = texts.select("text").mapInArrow(prefixes, "bucket long, node long, place int, size int")
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = members.join(several, "bucket", "left_semi").dropDuplicates(["bucket", "node"]).withColumn("root", F.col("node"))
+
+    def unlinked(rows: DataFrame) -> DataFrame:
+        """The rows of buckets whose members are not all linked yet."""
+        apart = rows.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("bucket")
+        return rows.join(apart, "bucket", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes = [_shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
-
-    wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    hashed = materialized(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+            hashes = [_shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([*map(_set_hash, hashes)], pa.int64()), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,9 +221,31 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, other = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
-    pairs = candidates.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
-    return prints.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node"), pairs
+    def verified(candidates: DataFrame) -> DataFrame:
+        candidates = materialized(candidates.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+        wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+        holders = copies.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        hashed = materialized(texts.join(holders, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        one, other = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
+        return materialized(candidates.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
+
+    share = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.col("lead_size")) - 1e-6)  # so many shingles at least are shared, this one and later ones
+    fits = (F.col("root") != F.col("lead_root")) & (F.col("size") - F.col("place") >= share) & (F.col("lead_size") - F.col("lead_place") >= share)
+    lead = [F.col(c).alias(l) for c, l in (("node", "leader"), ("root", "lead_root"), ("place", "lead_place"), ("size", "lead_size"))]
+    left, degree, found = materialized(unlinked(met)), F.lit(0), []
+    for _ in range(LEADER_ROUNDS):
+        first = left.groupBy("bucket").agg(F.min(F.struct((-degree).alias("d"), F.xxhash64("node").alias("h"), "node", "root", "place", "size")).alias("f")).select("bucket", "f.*")
+        led = left.join(first.select("bucket", *lead), "bucket")
+        found.append(verified(led.where(fits)))
+        linked = reduce(DataFrame.unionByName, found)
+        roots = components(linked).withColumnRenamed("root", "new")
+        links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+        rest = led.where("node <> leader").select("bucket", "node", "place", "size").join(roots, "node", "left").join(links, "node", "left")
+        left = materialized(unlinked(rest.select("bucket", "node", "place", "size", F.coalesce("new", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
+        degree = F.col("links")
+    others = left.select(F.col("bucket").alias("there"), *lead)
+    found.append(verified(left.join(others.hint("merge"), (F.col("bucket") == F.col("there")) & (F.col("node") < F.col("leader")) & fits)))
+    return copies, reduce(DataFrame.unionByName, found)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,6 +254,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Of rows that share an id too, all stay or all go. Rows with a null id stay.
     """
     copies, pairs = similar_pairs(docs, shingle, similarity, id_col, text_col)
-    roots = components(pairs)
-    gone = copies.join(roots, copies["node"] == roots["node"], "left").where(F.col("doc_id") > F.coalesce("root", copies["node"])).select(F.col("doc_id").alias("__gone")).distinct()
+    classes = materialized(copies.join(components(pairs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = classes.join(least, "root").where("doc_id > least").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -140,3 +140,49 @@ def test_minhash(spark):
     repeated = minhash.compare_with_edited(spark.createDataFrame(ROWS, SCHEMA))
     assert repeated.count() == len(ROWS) and repeated.where("doc_id is null").count() == 1
     assert minhash.compare_with_edited(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def similar(a, b):
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(lower(t).split()) for t in (a, b)]
+    return len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def kept_ids(spark, texts):
+    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")).select("doc_id").collect()}
+
+
+def test_truncated_and_extended_copies_are_near_copies(spark):
+    texts = {}
+    for i in range(30):
+        whole = words(400, 1000 + i)
+        texts |= {10 * i: whole, 10 * i + 1: " ".join(whole.split()[: 400 - (40, 60, 76)[i % 3]]), 10 * i + 2: words(400, 2000 + i)}
+        assert similar(texts[10 * i], texts[10 * i + 1])
+    assert kept_ids(spark, texts) == {i for i in texts if i % 10 != 1}
+
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    r = random.Random(12)
+    texts = {}
+    for g in range(6):
+        chain = words(60 if g else 7, 600 + g)
+        for i in range(25):
+            texts[len(texts) * 7 % 1009] = chain
+            chain = near(chain, r.randrange(3), r.randrange(10**6)) if r.random() < 0.8 else " ".join(chain.split()[r.randrange(4) :]) + " tail"
+    group = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if group[a] != group[b] and similar(texts[a], texts[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if x == old else x for i, x in group.items()}
+    for rounds, common in ((2, 3), (0, 10**6)):
+        monkeypatch.setattr(simhash, "LEADER_ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "COMMON_FROM", common)
+        assert kept_ids(spark, texts) == {*group.values()}
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    one, other = words(100, 21), words(100, 22)
+    rows = [(5, one), (5, other), (6, near(other, 1, 1)), (7, near(one, 1, 2)), (8, words(100, 23))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 5, 8]
