@@ -160,6 +160,13 @@ def test_truncated_and_extended_copies_are_near_copies(spark):
     assert kept_ids(spark, texts) == {i for i in texts if i % 10 != 1}
 
 
+def test_a_tail_of_new_words_keeps_a_near_copy(spark):
+    few = words(200, 3).split()
+    page = " ".join(random.Random(4).choices(few, k=1000))
+    texts = {1: page, 2: page + " " + words(150, 5), 3: words(1000, 6)}
+    assert similar(texts[1], texts[2]) and kept_ids(spark, texts) == {1, 3}
+
+
 
 def test_near_copies_against_all_pairs(spark, monkeypatch):
     r = random.Random(12)
