@@ -167,6 +167,16 @@ def test_a_tail_of_new_words_keeps_a_near_copy(spark):
     assert similar(texts[1], texts[2]) and kept_ids(spark, texts) == {1, 3}
 
 
+def test_an_unrelated_lesser_id_hides_no_near_copy(spark):
+    texts = {0: words(400, 70)}
+    for k in range(20):
+        base = words(300, 300 + k)
+        unrelated = " ".join(base.split()[:30]) + " " + words(270, 400 + k)  # meets both in many buckets, similar to neither
+        texts |= {100 + k: unrelated, 1000 + 2 * k: base, 1001 + 2 * k: near(base, 1, k)}
+        assert similar(base, texts[1001 + 2 * k]) and not similar(base, unrelated)
+    assert kept_ids(spark, texts) == {i for i in texts if i < 1000 or i % 2 == 0}
+
+
 
 def test_near_copies_against_all_pairs(spark, monkeypatch):
     r = random.Random(12)
