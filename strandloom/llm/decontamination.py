@@ -170,8 +170,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, i
     """
     texts = ids_and_texts(docs, id_col, text_col)
     probes = _probes(texts, items, window, item_col, item_text_col)
+    return _judged(texts, probes, share).drop("__text")
+
+
+def _judged(texts: DataFrame, probes: list, share: int) -> DataFrame:
+    """The columns of scan() and, where there are several blocks, __text: the hash of the row's text."""
     if len(probes) == 1:
-        rows = _found(texts, probes[0], "text").select("doc_id", "__words", "__hits", "__items")
+        rows = _found(texts, probes[0], "text").select("doc_id", F.lit(None).cast("string").alias("__text"), "__words", "__hits", "__items")
     else:  # one pass for each block; equal rows have equal hits, so they are joined by id and text
         keyed = texts.withColumn("__text", F.sha2("text", 256))
         passes = [_found(keyed, p, "text").select("doc_id", "__text", "__words", "__hits", "__items") for p in probes]
@@ -179,17 +184,17 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, i
         merged = some.groupBy(F.col("doc_id").alias("__doc"), F.col("__text").alias("__key")).agg(F.array_distinct(F.flatten(F.collect_set("__hits"))).alias("__h"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("__i"))
         first = passes[0].select("doc_id", "__text", "__words")
         rows = first.join(merged, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key")), "left")
-        rows = rows.select("doc_id", "__words", F.coalesce("__h", F.array().cast("array<int>")).alias("__hits"), F.coalesce("__i", F.array().cast("array<long>")).alias("__items"))
+        rows = rows.select("doc_id", "__text", "__words", F.coalesce("__h", F.array().cast("array<int>")).alias("__hits"), F.coalesce("__i", F.array().cast("array<long>")).alias("__items"))
     n_hit = F.size("__hits").cast("long")
-    return rows.select("doc_id", F.col("__words").alias("n_words"), n_hit.alias("n_hit"), F.col("__items").alias("items"), _contaminated(F.col("__words"), n_hit, share).alias("contaminated"))
+    return rows.select("doc_id", "__text", F.col("__words").alias("n_words"), n_hit.alias("n_hit"), F.col("__items").alias("items"), _contaminated(F.col("__words"), n_hit, share).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    kept = docs
-    probes = _probes(ids_and_texts(docs, id_col, text_col), items, window, item_col, item_text_col)
-    if len(probes) > 1:
-        bad = scan(docs, items, window, share, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    texts = ids_and_texts(docs, id_col, text_col)
+    probes = _probes(texts, items, window, item_col, item_text_col)
+    if len(probes) > 1:  # a row is judged by its own text, whatever other rows share its id
+        bad = _judged(texts, probes, share).where("contaminated").select(F.col("__text").alias("__bad")).distinct()
+        return docs.join(bad, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__bad"), "left_anti")
     kept = _found(docs, probes[0], text_col)
     return kept.where(~_contaminated(F.col("__words"), F.size("__hits"), share)).drop("__words", "__hits", "__items")

@@ -43,6 +43,17 @@ def test_decontamination_against_all_windows(spark):
     assert decontamination.scan(table.limit(0), bench).count() == 0
 
 
+def test_clean_judges_each_row_by_its_own_text_in_any_number_of_blocks(spark, monkeypatch):
+    passage, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    docs = [(None, passage), (None, "clean without id"), (None, None), (4, other), (4, "clean with the id of another"), (5, passage), (6, ""), (7, "clean"), (7, "clean")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, other), (3, "x y z")], "item_id long, text string")
+    want = sorted(str(d) for d in docs if d[1] not in (passage, other))
+    for size in (decontamination.BLOCK_BYTES, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        assert sorted(str(tuple(r)) for r in decontamination.clean(table, bench).collect()) == want
+
+
 def test_license_scan(spark):
     notice = dict(licenses.TEMPLATES[::-1])["MIT"]
     docs = [(1, "some text before it\n" + notice.upper() + "\nand more text after it"), (2, notice), (3, None), (4, ""), (5, "Released under the"), (6, "word " * 5000), (2, notice), (None, notice)]
