@@ -147,6 +147,15 @@ def _set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+#: Words of 64 bits in a set's parity. A bit tells if an odd number of shingles falls to it, so sets differ in as many shingles at least as parities in bits.
+PARITY = [f"p{i}" for i in range(8)]
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles, rare ones first. Of two sets of this similarity, both prefixes hold the first shingle that the sets share."""
     if not len(hashes):
@@ -170,8 +179,10 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys = [_set_hash(_shingle_set(t, shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["doc_id", "node"])
+            hashes = [_shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            parity = np.array([*map(_parity, hashes)], np.int64).reshape(-1, len(PARITY))
+            columns = [batch.column(0), pa.array([*map(_set_hash, hashes)], pa.int64()), *[pa.array(x.copy()) for x in parity.T]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *PARITY])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -179,7 +190,8 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
 
     texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
-    copies = materialized(texts.mapInArrow(run, "doc_id long, node long"))
+    copies = materialized(texts.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{p} long" for p in PARITY)))
+    nodes = materialized(copies.groupBy("node", *PARITY).agg(F.min("doc_id").alias("holder")))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
     counts = some.mapInArrow(sampled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
     known = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
@@ -200,6 +212,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     members = texts.select("text").mapInArrow(prefixes, "bucket long, node long, place int, size int")
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = members.join(several, "bucket", "left_semi").dropDuplicates(["bucket", "node"]).withColumn("root", F.col("node"))
+    met = met.join(nodes.drop("holder"), "node")
 
     def unlinked(rows: DataFrame) -> DataFrame:
         """The rows of buckets whose members are not all linked yet."""
@@ -224,28 +237,30 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     def verified(candidates: DataFrame) -> DataFrame:
         candidates = materialized(candidates.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-        holders = copies.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        holders = nodes.join(wanted, "node", "left_semi").select(F.col("holder").alias("doc_id")).distinct()
         hashed = materialized(texts.join(holders, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
         one, other = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
         return materialized(candidates.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
 
     share = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.col("lead_size")) - 1e-6)  # so many shingles at least are shared, this one and later ones
     fits = (F.col("root") != F.col("lead_root")) & (F.col("size") - F.col("place") >= share) & (F.col("lead_size") - F.col("lead_place") >= share)
-    lead = [F.col(c).alias(l) for c, l in (("node", "leader"), ("root", "lead_root"), ("place", "lead_place"), ("size", "lead_size"))]
+    fits &= sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"lead_{p}"))) for p in PARITY) <= F.col("size") + F.col("lead_size") - 2 * share
+    row = ["bucket", "node", "place", "size", *PARITY]
+    lead = [F.col(c).alias("leader" if c == "node" else f"lead_{c}") for c in ["root", *row[1:]]]
     left, degree, found = materialized(unlinked(met)), F.lit(0), []
     for _ in range(LEADER_ROUNDS):
-        first = left.groupBy("bucket").agg(F.min(F.struct((-degree).alias("d"), F.xxhash64("node").alias("h"), "node", "root", "place", "size")).alias("f")).select("bucket", "f.*")
+        first = left.groupBy("bucket").agg(F.min(F.struct((-degree).alias("d"), F.xxhash64("node").alias("h"), "root", *row[1:])).alias("f")).select("bucket", "f.*")
         led = left.join(first.select("bucket", *lead), "bucket")
         found.append(verified(led.where(fits)))
         linked = reduce(DataFrame.unionByName, found)
         roots = components(linked).withColumnRenamed("root", "new")
         links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        rest = led.where("node <> leader").select("bucket", "node", "place", "size").join(roots, "node", "left").join(links, "node", "left")
-        left = materialized(unlinked(rest.select("bucket", "node", "place", "size", F.coalesce("new", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
+        rest = led.where("node <> leader").select(*row).join(roots, "node", "left").join(links, "node", "left")
+        left = materialized(unlinked(rest.select(*row, F.coalesce("new", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
         degree = F.col("links")
     others = left.select(F.col("bucket").alias("there"), *lead)
     found.append(verified(left.join(others.hint("merge"), (F.col("bucket") == F.col("there")) & (F.col("node") < F.col("leader")) & fits)))
-    return copies, reduce(DataFrame.unionByName, found)
+    return copies.select("doc_id", "node"), reduce(DataFrame.unionByName, found)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

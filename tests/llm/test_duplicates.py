@@ -177,6 +177,13 @@ def test_an_unrelated_lesser_id_hides_no_near_copy(spark):
     assert kept_ids(spark, texts) == {i for i in texts if i < 1000 or i % 2 == 0}
 
 
+def test_a_star_of_independent_edits_is_one_class(spark):
+    base, at = words(200, 11), 500
+    texts = {i: base if i == at else near(base, 4, 5000 + i) for i in range(1001)}
+    texts = {i: t for i, t in texts.items() if similar(t, base)}
+    assert len(texts) > 900 and not similar(texts[min(texts)], texts[max(texts)])
+    assert kept_ids(spark, texts) == {min(texts)}
+
 
 def test_near_copies_against_all_pairs(spark, monkeypatch):
     r = random.Random(12)
