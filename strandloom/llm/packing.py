@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -63,17 +64,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     """Each document's ids and its end id, cut into pieces of at most capacity; one row for a piece, without its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, step = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), 4 * capacity
+        encode = encoder(tokenizer).encode_ended
         for batch in slices(batches, 1_000):
-            ids = batch.column(0).to_pylist()
-            rows = []
-            for doc_id, packed in zip(ids, ids_of(batch.column(1).to_pylist())):
-                packed += end
-                for k, at in enumerate(range(0, len(packed), step)):
-                    part = packed[at : at + step]
-                    rows.append((doc_id, k, k * capacity, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, counts = encode(batch.column(1).to_pylist(), end_id)
+            several = -(-counts // capacity)
+            row = np.repeat(np.arange(len(counts)), several)
+            piece = np.arange(len(row)) - (np.cumsum(several) - several)[row]
+            start, length = piece * capacity, np.minimum(capacity, counts[row] - piece * capacity)
+            at = (np.cumsum(counts) - counts)[row] + start
+            crcs = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return ids_and_texts(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

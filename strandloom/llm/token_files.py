@@ -67,8 +67,15 @@ def _pack(rows: np.ndarray, width: int) -> list[bytes]:
     return [b.tobytes() for b in np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")]
 
 
+def decode_range(payload: bytes, starts: list[int], n_ids: int, begin: int, end: int) -> np.ndarray:
+    """The ids from begin up to end of a segment, from the blocks that hold them alone."""
+    first, last = begin // BLOCK, -(-end // BLOCK)
+    ids = decode_blocks(payload, starts[first:last], min(n_ids, last * BLOCK) - first * BLOCK)
+    return ids[begin - first * BLOCK : end - first * BLOCK]
+
+
 def decode_blocks(payload: bytes, starts: list[int], n_ids: int) -> np.ndarray:
-    """The ids again. Blocks of one width are unpacked together."""
+    """The n_ids ids of the blocks that begin at starts again. Blocks of one width are unpacked together."""
     ids = np.zeros(n_ids, dtype="<u4")
     groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for k, at in enumerate(starts):
@@ -97,20 +104,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode whole texts, append end_id to each, and write the segments in ascending doc_id order to path."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, part = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_ended, TaskContext.get().partitionId()
         doc_ids, parts, held, first, segment = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            payload, starts = encode_blocks(np.frombuffer(b"".join(parts), "<u4"))
-            row = [part, segment, first, held, doc_ids, [len(p) // 4 for p in parts], starts, payload]
+            payload, starts = encode_blocks(np.concatenate(parts))
+            row = [part, segment, first, held, doc_ids, [len(p) for p in parts], starts, payload]
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches, 1_000):
-            for doc_id, packed in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist())):
+            ids, counts = encode(batch.column(1).to_pylist(), end_id)
+            at = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 doc_ids.append(doc_id)
-                parts.append(packed + end)
-                held += len(packed) // 4 + 1
+                parts.append(ids[at : at + n])
+                held, at = held + n, at + n
                 if held >= segment_ids:
                     yield flush()
                     doc_ids, parts, held, first, segment = [], [], 0, first + held, segment + 1
@@ -145,6 +154,28 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("first", "base", "n_ids", "doc_ids", "doc_lengths", "block_starts", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids (array<long>) of the documents of the files whose doc_id is in wanted's column doc_id; only their blocks are decoded.
+
+    Documents that share an id each have a row; an id that no document has gives none.
+    """
+    segments = spark.read.parquet(path)
+    ends = F.expr("aggregate(doc_lengths, array(0L), (s, n) -> concat(s, array(element_at(s, -1) + n)))")
+    places = segments.select("part", "segment", ends.alias("ends"), F.posexplode("doc_ids").alias("k", "doc_id"))
+    places = places.select("part", "segment", "doc_id", F.get("ends", "k").alias("begin"), F.get("ends", F.col("k") + 1).alias("end"))
+    places = places.join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    held = places.groupBy("part", "segment").agg(F.collect_list(F.struct("doc_id", "begin", "end")).alias("docs"))  # as many as a segment has at most
+    held = segments.select("part", "segment", "payload", "block_starts", "n_ids").join(held, ["part", "segment"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for row in batch.to_pylist():
+                ids = [decode_range(row["payload"], row["block_starts"], row["n_ids"], d["begin"], d["end"]).astype(np.int64) for d in row["docs"]]
+                yield pa.RecordBatch.from_arrays([pa.array([d["doc_id"] for d in row["docs"]], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return held.mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, **kwargs) -> DataFrame:
     """Write token files (by default to a fresh folder below the checkpoint folder) and read them back."""
     spark = docs.sparkSession

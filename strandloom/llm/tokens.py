@@ -1,30 +1,36 @@
-"""Token ids of whole texts by a public tokenizer file, with a memo of the ids of plain words."""
+"""Token ids of whole texts by a public tokenizer file, with a memo of the ids of chunks of text."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-import struct
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that str.split, re and the tokenizers' \s may see differently: texts with such chunks are encoded uncut.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 BYTE_LEVEL_CHUNK = re.compile(r" ?[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+")
 #: Where a byte-level text's cuts are not simply before each space and around each line feed.
-SPACE_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\0")
+SPACE_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r")
 #: A word of letters whose class and case all sides agree on, perhaps after a space and before marks: two parts that need no splitting.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:-@\[-`{-~]{0,40})")
 #: The bound of each of the memo's two generations, and the characters of text that are cut into chunks at a time.
-MEMO_WORDS, AT_ONCE = 200_000, 2_000_000
+MEMO_CHUNKS, AT_ONCE = 300_000, 1_000_000
+#: What parts the chunks of a text that is cut. A text that holds it is encoded uncut.
+CUT = "\0"
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to what the tokenizer gives for the whole text.
+    """Ids of texts as unsigned 32-bit numbers, equal to what the tokenizer gives for the whole text.
 
     Ids of a text are those of its chunks one after the other if the tokenizer never joins across the cut. Two kinds of
     tokenizer are known to keep that: those that drop white space (cut at each space and line feed), and byte-level ones
     with their own pattern (cut where that pattern cuts at ASCII white space). Any other tokenizer gets whole texts.
-    A special token's string in a text is ordinary text.
+    A special token's string in a text is ordinary text. Each different chunk of a batch is looked up once in a memo of bounded size.
     """
 
     def __init__(self, path: str):
@@ -42,75 +48,105 @@ class Encoder:
             self.cut = _byte_level_chunks
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in (first.get("pattern") or {}).get("Regex", ""):
             self.cut, self.lower = _spaced_chunks, True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.shown = _shown_bytes()
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
-            return self._encode(texts)
-        out: list[bytes] = []
-        at = 0
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        parts, at = [], 0
         while at < len(texts):
             end, chars = at, 0
             while end < len(texts) and (end == at or chars + len(texts[end]) <= AT_ONCE):
                 chars += len(texts[end])
                 end += 1
-            out += self._encode_cut(texts[at:end])
+            parts.append(self._encode_some(texts[at:end]))
             at = end
-        return out
-
-    def _encode_cut(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(text) for text in texts]
-        if len(self.words) > MEMO_WORDS:
-            self.words, self.older = {}, self.words
-        ids, hard, plain, known = {}, [], PLAIN.fullmatch, self.words.get
-        for chunk in {chunk for each in cut for chunk in each}:
-            if (own := known(chunk)) is not None:
-                ids[chunk] = own
-            elif m := plain(chunk):
-                word, marks = m.groups()
-                ids[chunk] = self._word(word) + self._word(marks) if marks else self._word(word)
-            else:
+        ids = [np.zeros(0, np.uint32), *[p[0] for p in parts]]
+        return np.concatenate(ids), np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+
+    def encode_ended(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), with end_id after each text, which counts."""
+        ids, counts = self.encode(texts)
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+
+    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        uncut = np.array([self.cut is None or CUT in text for text in texts], bool)
+        lists = pc.split_pattern(pa.array(["" if whole else self.cut(text) for text, whole in zip(texts, uncut)], pa.string()), CUT)
+        chunks = lists.values.dictionary_encode()
+        starts = lists.offsets.to_numpy()
+        known, place = self._known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), chunks.indices.to_numpy()
+        odd = np.array([ids is None for ids in known], bool)
+        if odd.any():
+            uncut |= np.diff(np.concatenate([[0], np.cumsum(odd[place])])[starts]) > 0
+            known = [b"" if ids is None else ids for ids in known]
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+        pool, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        each = sizes[place]
+        ends = np.zeros(len(place) + 1, np.int32)
+        np.cumsum(each, out=ends[1:])
+        ids = pool[np.repeat(begins[place] - ends[:-1], each) + np.arange(ends[-1], dtype=np.int32)]
+        counts = np.diff(ends[starts]).astype(np.int64)
+        if not uncut.any():
+            return ids, counts
+        rows = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(uncut):
+            rows[i] = np.array(self._whole([texts[i]])[0], np.uint32)
+        return np.concatenate(rows), np.array([len(row) for row in rows], np.int64)
+
+    def _known(self, chunks: list[str]) -> list[bytes | None]:
+        """The packed ids of each chunk; None for one that may hang together with its neighbours, so that its text must stay uncut."""
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo, self.older = {}, self.memo
+        known = [*map(self.memo.get, chunks)]
+        if new := [i for i, ids in enumerate(known) if ids is None]:
+            again = {c: self.older[c] for i in new if (c := chunks[i]) in self.older}
+            self.memo |= again
+            self._learn([c for i in new if (c := chunks[i]) not in again])
+            for i in new:
+                known[i] = self.memo.get(chunks[i])
+        return known
+
+    def _learn(self, chunks: list[str]) -> None:
+        memo, plain = self.memo, PLAIN.fullmatch
+        marked, words, hard = [], [], []
+        for chunk in chunks:
+            if m := plain(chunk):
+                if m[2]:
+                    marked.append((chunk, m[1], m[2]))
+                else:
+                    words.append(chunk)
+            elif not ODD_SPACE.search(chunk):
                 hard.append(chunk)
-        ids.update(zip(hard, self._encode(hard)))
-        get = ids.__getitem__
-        out = [b"".join(map(get, each)) for each in cut]
-        if odd := {chunk for chunk in hard if ODD_SPACE.search(chunk)}:
-            for i, each in enumerate(cut):
-                if not odd.isdisjoint(each):
-                    out[i] = self._encode([texts[i]])[0]
-        return out
-
-    def _word(self, word: str) -> bytes:
-        if self.lower:
-            word = word.lower()
-        if (ids := self.words.get(word)) is None:
-            if (ids := self.older.get(word)) is None:
-                shown = "".join([self.shown[b] for b in word.encode()])
-                ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
-            self.words[word] = ids
-        return ids
+        here = {*words}
+        words += {w for _, w, _ in marked if w not in memo and w not in here}
+        hard += {m for _, _, m in marked if m not in memo}
+        tokenize, show = self.tokenizer.model.tokenize, self.shown.__getitem__
+        lists = [[t.id for t in tokenize("".join(map(show, (w.lower() if self.lower else w).encode())))] for w in words]
+        memo.update(zip(words, _packed(lists)))
+        memo.update(zip(hard, _packed(self._whole(hard))))
+        for chunk, word, marks in marked:
+            memo[chunk] = memo[word] + memo[marks]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            out += [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-        return out
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _packed(lists: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit bytes."""
+    ends = np.cumsum([0, *map(len, lists)]) * 4
+    flat = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1] // 4).tobytes()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def _spaced_chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+def _spaced_chunks(text: str) -> str:
+    return text.replace("\n", CUT).replace(" ", CUT)
 
 
-def _byte_level_chunks(text: str) -> list[str]:
+def _byte_level_chunks(text: str) -> str:
     if text.endswith((" ", "\n")) or any(run in text for run in SPACE_RUNS):
-        return BYTE_LEVEL_CHUNK.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return CUT.join(BYTE_LEVEL_CHUNK.findall(text))
+    return text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT)
 
 
 def _shown_bytes() -> list[str]:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from strandloom.llm import packing, token_files
+from strandloom.llm import packing, token_files, tokens
 from strandloom.llm.tokens import Encoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -15,12 +15,18 @@ SCHEMA = "doc_id long, text string, piece string"
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
-def test_encoder_is_the_tokenizer(path):
+def test_encoder_is_the_tokenizer(path, monkeypatch):
     whole, encoder, r = Tokenizer.from_file(path), Encoder(path), random.Random(1)
     whole.encode_special_tokens = True
     parts = [" ", "  ", "\n", " \n", "\n\n", "\t", "a", "it's", "É", "1", "23", "!", "\xa0", "\x1c", "é", "́", "<|endoftext|>", "word", "Word,", "İ", "ß", "中", "\r", "'ll", "\x85", "😀", "&&&", "\0"]
     texts = ["".join(r.choices(parts, k=r.randrange(14))) for _ in range(500)] + ["x" * 5000]
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for at_once in (1_000_000, 40):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "MEMO_CHUNKS", at_once)
+        ids, counts = encoder.encode(texts)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert [len(x) for x in encoder.encode([])] == [0, 0]
 
 
 def test_best_fit_fills_the_fullest_bin_and_closes_it_first():
@@ -79,4 +85,15 @@ def test_token_files(spark, tmp_path):
             want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    wanted = spark.createDataFrame([(7,), (2,), (8,), (7,)], "doc_id long")
+    some = token_files.read_documents(spark, str(tmp_path / "500000"), wanted).collect()
+    assert sorted((r.doc_id, r.ids) for r in some) == sorted((i, whole.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, _ in ROWS if i in (2, 7))
     assert token_files.token_files(docs.limit(0), BYTES, path=str(tmp_path / "none")).count() == 0
+
+
+def test_a_range_needs_its_own_blocks_alone():
+    ids = np.random.default_rng(4).integers(0, 50_000, 2000).astype(np.uint32)
+    payload, starts = token_files.encode_blocks(ids)
+    for begin, end in ((0, 2000), (0, 1), (255, 257), (1999, 2000), (300, 300), (512, 768)):
+        blank = bytes(starts[begin // 256]) + payload[starts[begin // 256] :] if begin < end else payload
+        assert (token_files.decode_range(blank, starts, len(ids), begin, end) == ids[begin:end]).all()
