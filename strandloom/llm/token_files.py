@@ -12,7 +12,6 @@ Null texts are empty; rows with a null id come first. Rows that share an id foll
 
 from __future__ import annotations
 
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ from strandloom.llm.tokens import encoder
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 0.9, 500_000
 SCHEMA = "part int, segment int, first long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_starts array<int>, payload binary"
-_HEAD = struct.Struct("<IBH")
+_HEAD = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, list[int]]:
@@ -50,10 +49,14 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
             rows = np.flatnonzero(width == w)
             for i, bits in zip(rows, _pack(rest[rows], int(w))):
                 packed[i] = bits
+        row, where = np.nonzero(over)
+        heads = np.zeros(len(group), _HEAD)
+        heads["minimum"], heads["width"], heads["exceptions"] = low, width, over.sum(axis=1)
+        head, places = heads.tobytes(), where.astype(np.uint8).tobytes()
+        high = (rest[row, where].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4").tobytes()
+        bounds, size = np.concatenate([[0], np.cumsum(heads["exceptions"], dtype=np.int64)]).tolist(), _HEAD.itemsize
         for i in range(len(group)):
-            where = np.flatnonzero(over[i])
-            high = (rest[i, where].astype(np.uint64) >> np.uint64(width[i])).astype("<u4")
-            block = _HEAD.pack(int(low[i]), int(width[i]), len(where)) + packed[i] + where.astype(np.uint8).tobytes() + high.tobytes()
+            block = b"".join([head[i * size : i * size + size], packed[i], places[bounds[i] : bounds[i + 1]], high[4 * bounds[i] : 4 * bounds[i + 1]]])
             out.append(block)
             starts.append(at)
             at += len(block)
@@ -87,14 +90,14 @@ def decode_blocks(payload: bytes, starts: list[int], n_ids: int) -> np.ndarray:
         low = raw[at[:, None] + np.arange(4)].copy().view("<u4")
         values = np.zeros((len(blocks), n), np.uint32)
         if width:
-            bits = np.unpackbits(raw[at[:, None] + _HEAD.size + np.arange(size)], axis=1, bitorder="little")[:, : n * width].reshape(len(blocks), n, width)
+            bits = np.unpackbits(raw[at[:, None] + _HEAD.itemsize + np.arange(size)], axis=1, bitorder="little")[:, : n * width].reshape(len(blocks), n, width)
             wide = np.zeros((len(blocks), n, 32), np.uint8)
             wide[:, :, :width] = bits
             values = np.packbits(wide, axis=2, bitorder="little").view("<u4").reshape(len(blocks), n)
         for row, (k, a) in enumerate(blocks):
             if count := int(raw[a + 5]) | int(raw[a + 6]) << 8:
-                where = raw[a + _HEAD.size + size :][:count]
-                high = np.frombuffer(payload, "<u4", count, a + _HEAD.size + size + count)
+                where = raw[a + _HEAD.itemsize + size :][:count]
+                high = np.frombuffer(payload, "<u4", count, a + _HEAD.itemsize + size + count)
                 values[row, where] += (high.astype(np.uint64) << np.uint64(width)).astype(np.uint32)
             ids[k * BLOCK : k * BLOCK + n] = values[row] + low[row, 0]
     return ids
