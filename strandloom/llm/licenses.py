@@ -1,8 +1,10 @@
 """License scans: text units against licence templates by the Dice coefficient of their word bigrams, in DataFrame functions only.
 
-Units are a document's lines and, if it has several, the whole text (line -1). Text is normalised to lower-case words of letters and digits. With A
-and B the sets of different word bigrams, Dice = 2 |A and B| / (|A| + |B|) can reach the threshold t only if |A| is between t / (2 - t) |B| and
-(2 - t) / t |B|; other templates are pruned for a unit, and units that fit no template are left before their bigrams are made.
+Units are a document's lines, its paragraphs (runs of two or more lines without a blank one, where there is any other line) and, if it has several lines, the
+whole text. So a notice is found where it stands by itself on a line, wrapped over the lines of a paragraph, or as all of a text; one inside a longer paragraph
+is not. Text is normalised to lower-case words of letters and digits. With A and B the sets of different word bigrams, Dice = 2 |A and B| / (|A| + |B|)
+can reach the threshold t only if |A| is between t / (2 - t) |B| and (2 - t) / t |B|; other templates are pruned for a unit, and units that fit no
+template are left before their bigrams are made. The templates are short notices and the paragraphs of longer licences that tell them from others.
 
 Null and empty texts and units of fewer than two words have no bigrams and no rows. A document has a row for each unit and template
 that agree, several where several templates do; repeated rows give repeated rows; a null id stays null.
@@ -10,7 +12,7 @@ that agree, several where several templates do; repeated rows give repeated rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,14 @@ TEMPLATES = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.'),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -44,8 +54,31 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def _units(text: Column) -> Column:
+    """A text's units: line (the first, from 0; -1 for the whole text), n_lines, unit."""
+
+    def units(lines: Column) -> Column:
+        n = F.size(lines)
+        blank = lambda i: F.length(F.btrim(F.get(lines, i), F.lit(" \t\n\x0b\f\r"))) == 0
+        places = F.sequence(F.lit(0), n - 1)
+        begins = F.filter(places, lambda i: ~blank(i) & ((i == 0) | blank(i - 1)))
+        ends = F.filter(places, lambda i: ~blank(i) & ((i == n - 1) | blank(i + 1)))
+        runs = F.filter(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: (r["b"] < r["e"]) & (r["e"] - r["b"] + 1 < n))
+        unit = lambda line, count, value: F.struct(line.cast("int").alias("line"), count.cast("int").alias("n_lines"), value.alias("unit"))
+        single = F.transform(lines, lambda x, i: unit(i, F.lit(1), x))
+        paragraphs = F.transform(runs, lambda r: unit(r["b"], r["e"] - r["b"] + 1, F.array_join(F.slice(lines, r["b"] + 1, r["e"] - r["b"] + 1), "\n")))
+        return F.when(n == 1, single).otherwise(F.concat(single, paragraphs, F.array(unit(F.lit(-1), n, text))))
+
+    return _let(F.split(text, "\n"), units)
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (from 0, or -1), license, template (its number), dice."""
+    """doc_id, line (the unit's first, from 0, or -1 for the whole text), n_lines, license, template (its number), dice."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     made = docs.sparkSession.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, notice string")
@@ -56,14 +89,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     least, most = min(low * len(r["b"]) for r in made) - 1e-9, max(high * len(r["b"]) for r in made) + 1e-9
     literal = F.array(*[F.struct(F.lit(r["template"]).alias("template"), F.lit(r["license"]).alias("license"), F.lit(r["b"]).alias("b")) for r in made])
 
-    texts = ids_and_texts(docs, id_col, text_col)
-    lines = texts.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("doc_id", "line", "unit")
-    wholes = texts.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    # A unit of n bigrams has more than 2 n characters, and has n or more different words less one.
-    units = lines.unionByName(wholes).where(F.length("unit") >= 2 * least + 1).select("doc_id", "line", _words(F.col("unit")).alias("words"))
-    units = units.where((F.size("words") - 1 >= least) & (F.size(F.array_distinct("words")) - 1 <= most))
-    units = units.select("doc_id", "line", _bigrams(F.col("words")).alias("a")).where((F.size("a") >= least) & (F.size("a") <= most))
-    fitting = F.filter(literal, lambda t: (F.size("a") >= low * F.size(t["b"]) - 1e-9) & (F.size("a") <= high * F.size(t["b"]) + 1e-9))
-    pairs = units.select("doc_id", "line", "a", F.explode(fitting).alias("t"))
-    dice = 2 * F.size(F.array_intersect("a", F.col("t.b"))) / (F.size("a") + F.size("t.b"))
-    return pairs.select("doc_id", "line", "t.license", "t.template", F.round(dice, 9).alias("dice")).where(F.col("dice") >= threshold - 1e-9)
+    def agree(a: Column) -> Column:
+        fitting = F.filter(literal, lambda t: (F.size(a) >= low * F.size(t["b"]) - 1e-9) & (F.size(a) <= high * F.size(t["b"]) + 1e-9))
+        scored = F.transform(fitting, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), F.round(2 * F.size(F.array_intersect(a, t["b"])) / (F.size(a) + F.size(t["b"])), 9).alias("dice")))
+        return F.filter(scored, lambda s: s["dice"] >= threshold - 1e-9)
+
+    # A unit of n bigrams has more than 2 n characters, and n + 1 or more words, of which at most n + 1 are different.
+    fits = lambda w: (F.size(w) - 1 >= least) & (F.size(F.array_distinct(w)) - 1 <= most)
+    found = _let(_words(F.col("unit")), lambda w: F.when(fits(w), _let(_bigrams(w), agree)))
+    units = ids_and_texts(docs, id_col, text_col).select("doc_id", F.inline(_units(F.col("text")))).where(F.length("unit") >= 2 * least + 1)
+    return units.select("doc_id", "line", "n_lines", F.inline(found))

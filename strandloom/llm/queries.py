@@ -94,11 +94,19 @@ WHERE a.hash IS DISTINCT FROM b.hash""",
     "op6_license_scan": f"""
 WITH templates AS (
   SELECT template, license, {_BIGRAMS} AS b FROM (SELECT *, {_WORDS.format("notice")} AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, notice))),
-lines AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-units AS (SELECT doc_id, line, unit FROM lines UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
-cut AS (SELECT doc_id, line, {_BIGRAMS} AS a FROM (SELECT doc_id, line, {_WORDS.format("unit")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100),
+texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+blanks AS (SELECT *, list_transform(parts, lambda x: trim(x, e' \\t\\n\\x0b\\x0c\\r') = '') AS blank FROM texts),
+runs AS (
+  SELECT doc_id, parts, unnest(list_zip(
+    list_filter(generate_series(1, len(parts)), lambda i: NOT blank[i] AND (i = 1 OR blank[i - 1])),
+    list_filter(generate_series(1, len(parts)), lambda i: NOT blank[i] AND (i = len(parts) OR blank[i + 1])))) AS run FROM blanks),
+units AS (
+  SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS line, 1 AS n_lines FROM texts
+  UNION ALL SELECT doc_id, array_to_string(parts[run[1]:run[2]], chr(10)), run[1] - 1, run[2] - run[1] + 1 FROM runs WHERE run[2] > run[1] AND run[2] - run[1] + 1 < len(parts)
+  UNION ALL SELECT doc_id, text, -1, len(parts) FROM texts WHERE len(parts) > 1),
+cut AS (SELECT doc_id, line, n_lines, {_BIGRAMS} AS a FROM (SELECT doc_id, line, n_lines, {_WORDS.format("unit")} AS w FROM units) WHERE len(w) >= 2),
 scored AS (
-  SELECT doc_id, line::INT AS line, license, template::INT AS template, round(2 * len(list_intersect(a, b)) / (len(a) + len(b))::DOUBLE, 9) AS dice
+  SELECT doc_id, line::INT AS line, n_lines::INT AS n_lines, license, template::INT AS template, round(2 * len(list_intersect(a, b)) / (len(a) + len(b))::DOUBLE, 9) AS dice
   FROM cut, templates WHERE len(a) BETWEEN 2.0 / 3 * len(b) - 1e-9 AND 1.5 * len(b) + 1e-9)
 SELECT * FROM scored WHERE dice >= 0.8 - 1e-9""",
     "op8_decontamination": r"""

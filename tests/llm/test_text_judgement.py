@@ -59,6 +59,12 @@ def test_license_scan(spark):
     docs = [(1, "some text before it\n" + notice.upper() + "\nand more text after it"), (2, notice), (3, None), (4, ""), (5, "Released under the"), (6, "word " * 5000), (2, notice), (None, notice)]
     got = licenses.scan(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, line string")).collect()
     assert sorted((str(r.doc_id), r.line, r.license, r.dice) for r in got) == [("1", 1, "MIT", 1.0), ("2", 0, "MIT", 1.0), ("2", 0, "MIT", 1.0), ("None", 0, "MIT", 1.0)]
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    header = dict(licenses.TEMPLATES)["Apache-2.0"].split(" ")
+    wrapped = "# " + " ".join(header[:9]) + "\n#   " + " ".join(header[9:])
+    long = {1: wrapped, 2: "A file\n \t\n" + wrapped + "\n\ncode follows\nhere", 3: "code\n" + wrapped + "\ncode", 4: "\n\n" + wrapped + "\n\n", 5: " ".join(header) + " word" * 100}
+    got = licenses.scan(spark.createDataFrame([*long.items()], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.line, r.n_lines) for r in got if r.dice == 1) == [(1, -1, 2), (2, 2, 2), (4, -1, 6), (4, 2, 2)]
     sets = lambda t: (lambda w: {*zip(w, w[1:])})(re.sub(r"[\W_]+", " ", t.lower()).strip().split(" "))
     texts = ["licensed under the apache license version two", "Licensed under CC BY-NC 4.0", "this work is licensed under the gnu general public license, version 3 or 2"]
     got = {(r.doc_id, r.template): r.dice for r in licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), threshold=0.6).collect()}
