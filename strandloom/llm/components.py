@@ -17,6 +17,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     checkpoint. Repeated links, loops and either direction are fine; a link with a null end is none. No links give no rows.
     """
     edges = materialized(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
+    seen = _sum(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -26,9 +27,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = materialized(small.where("u <> v").distinct())
-        changed = not _same(edges, after)
-        edges = after
-        if not changed:
+        edges, before, seen = after, seen, _sum(after)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -36,7 +36,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _same(one: DataFrame, other: DataFrame) -> bool:
-    """Equal as sets, by count and by a sum of hashes in decimals (both hold each row once)."""
-    total = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    return one.agg(*total).first() == other.agg(*total).first()
+def _sum(edges: DataFrame) -> tuple:
+    """What tells sets of different rows apart: their count and a sum of hashes in decimals."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -12,6 +12,7 @@ A null id never names a class; a class of null ids only has a null name. An empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,13 +37,17 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         return 0
     if len(words) <= shingle:
         return xxh64_intdigest(b" ".join(words), seed)
-    join, hashes = b" ".join, []
-    hashes = np.array([xxh64_intdigest(join(s), seed) for s in zip(*[words[i:] for i in range(shingle)])], dtype="<u8")
+    join = b" ".join
+    return _majority(np.array([xxh64_intdigest(join(s), seed) for s in zip(*[words[i:] for i in range(shingle)])], np.uint64)) % 2**64
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have set, as a signed number."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
-        bits = np.unpackbits(hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + HASHES_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,13 +119,17 @@ def hexadecimal(bits: str) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-# Near copies by similarity: a complete prefix filter on word shingles proposes, the exact sets decide.
+# Near copies by similarity: the anchors propose what differs in few bits, a complete prefix filter on word shingles the rest, the exact sets decide.
 
 #: One text in SAMPLED tells which shingles are common: those that COMMON_FROM of them or more hold, MOST_COMMON at most. These go last in the order of
 #: shingles. Any order finds all pairs; one that puts common shingles last proposes few others.
 SAMPLED, COMMON_FROM, MOST_COMMON = 8, 3, 500_000
+#: Bits in which fingerprints of five-word shingles differ at most where the anchors propose a pair.
+ANCHOR_BITS = 3
 #: Rounds in which a bucket is compared with a leader, before those that are not yet linked there are compared with each other.
 LEADER_ROUNDS = 2
+#: As many ids at most are broadcast to pick texts; more are joined.
+BROADCAST_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -167,37 +176,51 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarit
     return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """copies (doc_id, node): the hash of the text's set of shingles; and pairs (a, b) of nodes whose shingles' Jaccard similarity is at least similarity.
+def _shared(size: Column, other: Column, similarity: float) -> Column:
+    """The least number of shingles that sets of these sizes share if they are similar."""
+    return F.ceil(similarity / (1 + similarity) * (size + other) - 1e-6)
 
-    The pairs link all nodes that similar pairs link, directly or by a chain. Texts meet in a bucket for each shingle of their prefixes. Each bucket is
-    compared with a leader, in a further round with the member that has most links by then; those that no chain of verified pairs links are
-    compared with each other. A large group of near copies so gives about as many pairs as it has members.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("the similarity is above 0 and at most 1")
+
+def _parities_allow(one: str, other: str, similarity: float) -> Column:
+    """False for nodes that can't be similar by their sizes and parities, in columns that begin with one and other."""
+    size, lead = F.col(f"{one}size"), F.col(f"{other}size")
+    share = _shared(size, lead, similarity)
+    differ = sum(F.bit_count(F.col(f"{one}{p}").bitwiseXOR(F.col(f"{other}{p}"))) for p in PARITY)
+    return (F.least(size, lead) >= share) & (differ <= size + lead - 2 * share)
+
+
+def _nodes(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node (the hash of the text's set of shingles), the set's size, its fingerprint's bits and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes = [_shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             parity = np.array([*map(_parity, hashes)], np.int64).reshape(-1, len(PARITY))
-            columns = [batch.column(0), pa.array([*map(_set_hash, hashes)], pa.int64()), *[pa.array(x.copy()) for x in parity.T]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *PARITY])
+            columns = [batch.column(0), pa.array([*map(_set_hash, hashes)], pa.int64()), pa.array([*map(len, hashes)], pa.int32()), pa.array([_majority(h) for h in hashes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x.copy()) for x in parity.T]], ["doc_id", "node", "size", "bits", *PARITY])
+
+    return texts.mapInArrow(run, "doc_id long, node long, size int, bits long, " + ", ".join(f"{p} long" for p in PARITY))
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles among a sample of different texts, in ascending order, and how common each is."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [_shingle_set(t, shingle).view(np.int64) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
 
-    texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
-    copies = materialized(texts.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{p} long" for p in PARITY)))
-    nodes = materialized(copies.groupBy("node", *PARITY).agg(F.min("doc_id").alias("holder")))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
     counts = some.mapInArrow(sampled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
     known = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
     common, ranks = known["shingle"].to_numpy().astype(np.int64).view(np.uint64), known["n"].to_numpy().astype(np.int64)
     order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], ranks[order]))
+    return common[order], ranks[order]
+
+
+def _members(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """bucket (a shingle), node, place, size: each text in the bucket of each shingle of its prefix; only buckets of several nodes, each node once."""
+    shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
@@ -211,13 +234,41 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
 
     members = texts.select("text").mapInArrow(prefixes, "bucket long, node long, place int, size int")
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = members.join(several, "bucket", "left_semi").dropDuplicates(["bucket", "node"]).withColumn("root", F.col("node"))
-    met = met.join(nodes.drop("holder"), "node")
+    return members.join(several, "bucket", "left_semi").dropDuplicates(["bucket", "node"])
+
+
+def _unlinked(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members do not all have the same root yet."""
+    apart = rows.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("bucket")
+    return rows.join(apart, "bucket", "left_semi")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """node, root, links (how many) of the nodes of links (a, b). Nodes with one root are linked by a chain; some that are linked may have different roots.
 
-    def unlinked(rows: DataFrame) -> DataFrame:
-        """The rows of buckets whose members are not all linked yet."""
-        apart = rows.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("bucket")
-        return rows.join(apart, "bucket", "left_semi")
+    Each node points to the least of its neighbours by hash if that is less than itself, and is led along up to four of these pointers.
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = ends.groupBy("node").agg(F.count("*").alias("links"), F.min(F.struct(F.xxhash64("other").alias("h"), "other")).alias("n"))
+    labels = materialized(near.select("node", "links", F.when(F.col("n.h") < F.xxhash64("node"), F.col("n.other")).otherwise(F.col("node")).alias("root")))
+    for _ in range(2):
+        labels = materialized(labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", "links", F.col("further").alias("root")))
+    return labels
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """copies (doc_id, node): the hash of the text's set of shingles; and pairs (a, b) of nodes whose shingles' Jaccard similarity is at least similarity.
+
+    The pairs link all nodes that similar pairs link, directly or by a chain. Nodes whose SimHash fingerprints of the same shingles meet at an anchor within
+    ANCHOR_BITS are compared first. For the others, texts meet in a bucket for each shingle of their prefixes. Each bucket that is not linked yet is
+    compared with a leader, in a further round with the member that has most links by then; those that no chain of verified pairs links are
+    compared with each other. A large group of near copies so gives about as many pairs as it has members.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is above 0 and at most 1")
+    texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
+    copies = materialized(_nodes(texts, shingle))
+    nodes = materialized(copies.groupBy("node", "size", "bits", *PARITY).agg(F.min("doc_id").alias("holder")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -235,31 +286,42 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
-        candidates = materialized(candidates.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-        wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-        holders = nodes.join(wanted, "node", "left_semi").select(F.col("holder").alias("doc_id")).distinct()
-        hashed = materialized(texts.join(holders, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        one, other = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
-        return materialized(candidates.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
-
-    share = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.col("lead_size")) - 1e-6)  # so many shingles at least are shared, this one and later ones
+        """Of the candidates (a, b) those that are similar."""
+        one, other = (nodes.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in ["node", "size", *PARITY]]) for side in ("a", "b"))
+        ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        likely = materialized(ordered.join(one, "a").join(other, "b").where(_parities_allow("a_", "b_", similarity)).select("a", "b"))
+        wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        holders = materialized(nodes.join(wanted, "node", "left_semi").select(F.col("holder").alias("doc_id")).distinct())
+        if holders.count() <= BROADCAST_IDS:
+            holders = F.broadcast(holders)
+        # A row of such an id may hold another text; what no candidate names falls out of the joins.
+        hashed = materialized(texts.join(holders, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+        a, b = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
+        return materialized(likely.join(a, "a").join(b, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
+
+    groups = materialized(nodes.groupBy("bits").agg(F.min("node").alias("first")))
+    same = nodes.join(groups, "bits").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(groups, ANCHOR_BITS).join(groups.select(F.col("bits").alias("a"), F.col("first").alias("x")), "a").join(groups.select(F.col("bits").alias("b"), F.col("first").alias("y")), "b")
+    found = [verified(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))]
+
+    left = _members(texts, shingle, similarity).join(_labels(found[0]), "node", "left").select("bucket", "node", "place", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    left = materialized(_unlinked(left))
+    row, lead = ["root", "node", "place", "size"], [F.col(c).alias(f"lead_{c}") for c in ("root", "node", "place", "size")]
+    share = _shared(F.col("size"), F.col("lead_size"), similarity)  # so many shingles at least are shared, this one and later ones
     fits = (F.col("root") != F.col("lead_root")) & (F.col("size") - F.col("place") >= share) & (F.col("lead_size") - F.col("lead_place") >= share)
-    fits &= sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"lead_{p}"))) for p in PARITY) <= F.col("size") + F.col("lead_size") - 2 * share
-    row = ["bucket", "node", "place", "size", *PARITY]
-    lead = [F.col(c).alias("leader" if c == "node" else f"lead_{c}") for c in ["root", *row[1:]]]
-    left, degree, found = materialized(unlinked(met)), F.lit(0), []
     for _ in range(LEADER_ROUNDS):
-        first = left.groupBy("bucket").agg(F.min(F.struct((-degree).alias("d"), F.xxhash64("node").alias("h"), "root", *row[1:])).alias("f")).select("bucket", "f.*")
+        first = left.groupBy("bucket").agg(F.min(F.struct((-F.col("links")).alias("d"), F.xxhash64("node").alias("h"), *row)).alias("f")).select("bucket", "f.*")
         led = left.join(first.select("bucket", *lead), "bucket")
-        found.append(verified(led.where(fits)))
-        linked = reduce(DataFrame.unionByName, found)
-        roots = components(linked).withColumnRenamed("root", "new")
-        links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        rest = led.where("node <> leader").select(*row).join(roots, "node", "left").join(links, "node", "left")
-        left = materialized(unlinked(rest.select(*row, F.coalesce("new", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
-        degree = F.col("links")
-    others = left.select(F.col("bucket").alias("there"), *lead)
-    found.append(verified(left.join(others.hint("merge"), (F.col("bucket") == F.col("there")) & (F.col("node") < F.col("leader")) & fits)))
+        found.append(verified(led.where(fits).select(F.col("node").alias("a"), F.col("lead_node").alias("b"))))
+        rest = led.where("node <> lead_node").select("bucket", "node", "place", "size").join(_labels(reduce(DataFrame.unionByName, found)), "node", "left")
+        left = materialized(_unlinked(rest.select("bucket", "node", "place", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
+
+    # Members whose sizes allow it meet: those of one size class, and those of a class with the next.
+    known = left.join(nodes.select("node", *PARITY), "node").withColumn("class", F.floor(F.log(F.col("size")) / math.log(1 / similarity) + 1e-9) if similarity < 1 else F.col("size").cast("long"))
+    others = known.select(F.col("bucket").alias("there"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("met"), F.col("class").alias("own"), *lead, *[F.col(p).alias(f"lead_{p}") for p in PARITY])
+    once = (F.col("met") < F.col("own")) | (F.col("node") < F.col("lead_node"))
+    meet = (F.col("bucket") == F.col("there")) & (F.col("class") == F.col("met")) & once & fits & _parities_allow("", "lead_", similarity)
+    found.append(verified(known.join(others.hint("merge"), meet).select(F.col("node").alias("a"), F.col("lead_node").alias("b"))))
     return copies.select("doc_id", "node"), reduce(DataFrame.unionByName, found)
 
 
