@@ -4,11 +4,12 @@ A line's key is the line stripped of ASCII white space at both ends and with A-Z
 points that at least two documents hold lose all their lines but those of the smallest doc_id that holds them.
 
 1. Each document's keys are hashed to 128 bits and grouped to a count, the least and the largest doc_id (Spark pre-aggregates).
-2. The hashes found in several documents are split into shards. For each shard a minimal perfect hash is built over the
-   first 64 bits, and arrays hold the other 64 bits as fingerprint, the count and the owner at its place. A shard is one row.
+2. The hashes found in several documents are split into shards. For each shard a minimal perfect hash is built, and arrays
+   hold the last 64 bits as fingerprint, the count and the owner at its place. A shard is one row.
 3. Documents probe: each line's hash goes to its shard, which looks it up in the arrays; only what must go comes back.
-   Lines in over 1 / HOT_SHARE of all (line, document) pairs, which are HOT_SHARE at most, form a shard of their own that is
-   broadcast, so that no common line sends its many probes to one task.
+   Lines in HOT_LEAST documents or more and in over 1 / HOT_SHARE of all (line, document) pairs, which are HOT_SHARE at most, form a
+   shard of their own that is broadcast. A shard that more than twice SHARD_PROBES pairs probe is copied, and its probes are dealt to the
+   copies by document, so that no common line sends its many probes to one task.
 4. Each document drops the lines it was told to.
 
 A text that is null or empty has one empty line. A row with a null id neither counts nor loses lines. Rows that share an id
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialized, slices, small_batches
+from strandloom.llm.common import materialized, slices, small_batches, unused
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CONTINUED = bytes(range(0x80, 0xC0))
-#: Lines held by a shard, (line, document) pairs probing one, and the share of pairs from which a line is hot.
-SHARD_LINES, SHARD_PROBES, HOT_SHARE = 200_000, 500_000, 20_000
+#: Lines held by a shard, (line, document) pairs probing one, the share of pairs from which a line is hot, and the documents that it has at least.
+SHARD_LINES, SHARD_PROBES, HOT_SHARE, HOT_LEAST = 100_000, 250_000, 20_000, 10_000
 
 
 def key_of(line: bytes) -> bytes:
@@ -48,15 +49,16 @@ def _hashes(lines: list[bytes], min_chars: int) -> list[bytes | None]:
     return out
 
 
-def _mix(x: np.ndarray, level: int) -> np.ndarray:
-    """Well mixed 64 bits for a level of the minimal perfect hash."""
+def _mix(h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
+    """Well mixed 64 bits for a level of the minimal perfect hash. Two different hashes get the same at one level in 2**64 at most."""
     with np.errstate(over="ignore"):
+        x = h1.view(np.uint64) + h2.view(np.uint64) * np.uint64(2 * level + 1)
         x = (x ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
         return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(16)
 
 
 class PerfectHash:
-    """Level after level of bits: a key that is alone at its place takes it, the others go on to the next level."""
+    """Level after level of bits: a key that is alone at its place takes it, the others go on to the next level. Keys are pairs of 64 bits, each there once."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -66,20 +68,20 @@ class PerfectHash:
             below += int(bits.sum())
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
+    def build(cls, h1: np.ndarray, h2: np.ndarray) -> PerfectHash:
+        levels, left = [], np.arange(len(h1))
         while len(left):
-            at = _mix(left, len(levels)) % np.uint64(2 * len(left) + 1)
-            alone = np.bincount(at.astype(np.int64), minlength=2 * len(left) + 1) == 1
+            at = (_mix(h1[left], h2[left], len(levels)) % np.uint64(2 * len(left) + 1)).astype(np.int64)
+            alone = np.bincount(at, minlength=2 * len(left) + 1) == 1
             levels.append(alone)
-            left = left[~alone[at.astype(np.int64)]]
+            left = left[~alone[at]]
         return cls(levels)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
+    def places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """A place below the number of keys for each key it was built over; anything, -1 too, for others."""
-        out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        out, open_ = np.full(len(h1), -1, np.int64), np.arange(len(h1))
         for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
-            at = (_mix(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
+            at = (_mix(h1[open_], h2[open_], level) % np.uint64(len(bits))).astype(np.int64)
             here = bits[at]
             out[open_[here]] = ranks[at[here]]
             open_ = open_[~here]
@@ -108,17 +110,16 @@ class Shard:
         self.prints, self.counts, self.owners = np.frombuffer(row["prints"], "<i8"), np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["owners"], "<i8")
 
     def look_up(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is in the shard, and its owner there."""
+        """The count of each hash, 0 for one that is not in the shard, and its owner."""
         if not len(self.prints):
-            return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
-        at = self.hash.places(h1.view(np.uint64))
-        found = (at >= 0) & (self.prints[at] == h2)
-        return found, self.owners[at]
+            return np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
+        at = self.hash.places(h1, h2)
+        return np.where((at >= 0) & (self.prints[at] == h2), self.counts[at], 0), self.owners[at]
 
 
 def _build(shard: int, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> dict:
-    built = PerfectHash.build(h1.view(np.uint64))
-    at = built.places(h1.view(np.uint64))
+    built = PerfectHash.build(h1, h2)
+    at = built.places(h1, h2)
     bits, sizes = built.to_bytes()
     arrays = {}
     for name, values in (("prints", h2), ("counts", counts), ("owners", owners)):
@@ -132,62 +133,75 @@ def _as_batch(row: dict) -> pa.Table:
     return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), types)})
 
 
-def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, h1, h2: each document's different line keys, from rows with an id."""
+def _keys_of(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_id, h1 and h2 of each document's different line keys."""
+    for batch in slices(batches):
+        ids, found = [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = {*_hashes(text.encode("utf-8", "surrogatepass").split(b"\n"), min_chars)} - {None}
+            found += own
+            ids += [doc_id] * len(own)
+        both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        yield np.array(ids, np.int64), both[:, 0].copy(), both[:, 1].copy()
+
+
+def _shared_lines(texts: DataFrame, min_chars: int) -> DataFrame:
+    """h1, h2, n, owner: the keys of several documents, how many rows hold them, and the least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {*_hashes(text.encode("utf-8", "surrogatepass").split(b"\n"), min_chars)} - {None}
-                found += own
-                ids += [doc_id] * len(own)
-            both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "h1", "h2"])
+        for columns in _keys_of(batches, min_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "h1", "h2"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    keys = texts.mapInArrow(run, "doc_id long, h1 long, h2 long")
+    grouped = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    return grouped.where("owner < last").select("h1", "h2", "n", "owner")
 
 
 def _drops(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, gone: the hashes of lines that each document with any must drop."""
-    spark = docs.sparkSession
-    keys = _keys(docs, min_chars)
-    grouped = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    shared = materialized(grouped.where("owner < last").select("h1", "h2", "n", "owner"))
+    texts = docs.where("doc_id is not null")
+    shared = materialized(_shared_lines(texts, min_chars))
     lines, pairs = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-lines // SHARD_LINES), -(-pairs // SHARD_PROBES))
-    hot_from = max(2, pairs // HOT_SHARE + 1)
+    hot_from = max(HOT_LEAST, pairs // HOT_SHARE + 1)
     hot_rows = shared.where(F.col("n") >= hot_from).toArrow()  # HOT_SHARE rows at most, as their counts sum up to pairs
-    hot = spark.sparkContext.broadcast(_build(-1, *(hot_rows[c].to_numpy() for c in ("h1", "h2", "n", "owner"))))
+    sharded = shared.where(F.col("n") < hot_from).withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    busy = sharded.groupBy("shard").agg(F.sum("n").alias("probes")).where(F.col("probes") > 2 * SHARD_PROBES)  # half as many as there are shards at most
+    busy = materialized(busy.select("shard", F.ceil(F.col("probes") / SHARD_PROBES).cast("int").alias("copies")))
+    copies = busy.orderBy("shard").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((_build(-1, *(hot_rows[c].to_numpy() for c in ("h1", "h2", "n", "owner"))), copies["shard"].to_numpy(), copies["copies"].to_numpy()))
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
         return _as_batch(_build(key[0].as_py(), *(group[c].to_numpy() for c in ("h1", "h2", "n", "owner"))))
 
-    def shard_of(h1: Column) -> Column:
-        return F.pmod(h1, F.lit(shards)).cast("int")
-
-    index = shared.where(F.col("n") < hot_from).withColumn("shard", shard_of(F.col("h1"))).groupBy("shard").applyInArrow(build, SHARD_SCHEMA)
+    index = sharded.groupBy("shard").applyInArrow(build, SHARD_SCHEMA)
+    index = index.join(F.broadcast(busy), "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = Shard(hot.value)
-        for batch in batches:
-            doc_ids, h1, h2 = (c.to_numpy() for c in batch.columns)
-            found, owner = common.look_up(h1, h2)
-            keep = ~found | (owner != doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc_ids, h1, h2, found)], ["doc_id", "h1", "h2", "gone"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's keys: those that the common lines tell to go, and those that shards are asked for."""
+        row, busy_shards, copies = sent.value
+        common = Shard(row)
+        for doc_ids, h1, h2 in _keys_of(batches, min_chars):
+            count, owner = common.look_up(h1, h2)
+            gone, shard, copy = count > 0, (h1 % shards).astype(np.int32), np.zeros(len(h1), np.int32)
+            if len(busy_shards):
+                at = np.minimum(np.searchsorted(busy_shards, shard), len(busy_shards) - 1)
+                copy = np.where(busy_shards[at] == shard, doc_ids % copies[at], 0).astype(np.int32)
+            keep = ~gone | (owner != doc_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc_ids, h1, h2, gone, shard, copy)], ["doc_id", "h1", "h2", "gone", "shard", "copy"])
 
-    probes = keys.mapInArrow(split, "doc_id long, h1 long, h2 long, gone boolean")
+    probes = texts.mapInArrow(ask, "doc_id long, h1 long, h2 long, gone boolean, shard int, copy int")
 
     def probe(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         doc_ids, h1, h2 = (asked[c].to_numpy() for c in ("doc_id", "h1", "h2"))
         gone = np.zeros(len(h1), bool)
         for row in held.to_pylist() if len(h1) else []:
-            found, owner = Shard(row).look_up(h1, h2)
-            gone |= found & (owner != doc_ids)
+            count, owner = Shard(row).look_up(h1, h2)
+            gone |= (count > 1) & (owner != doc_ids)
         return pa.table({"doc_id": doc_ids[gone], "h1": h1[gone], "h2": h2[gone]})
 
-    asked = probes.where("not gone").select("doc_id", "h1", "h2", shard_of(F.col("h1")).alias("shard"))
-    told = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "doc_id long, h1 long, h2 long")
+    asked = probes.where("not gone").select("doc_id", "h1", "h2", "shard", "copy")
+    told = asked.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(probe, "doc_id long, h1 long, h2 long")
     told = told.unionByName(probes.where("gone").select("doc_id", "h1", "h2"))
     return told.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
 
@@ -201,11 +215,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = _drops(texts, min_chars)
 
+    own_id, body, told = (unused(docs, name) for name in ("__id", "__text", "__told"))
+
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             names = batch.schema.names
             texts, n_lines, n_dropped = [], [], []
-            for text, out in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__gone")).to_pylist()):
+            for text, out in zip(batch.column(names.index(body)).to_pylist(), batch.column(names.index(told)).to_pylist()):
                 lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
                 n_lines.append(len(lines))
                 if out:
@@ -214,15 +230,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
                     text = b"\n".join(lines).decode("utf-8", "surrogatepass")
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append(text)
-            new = {"__text": pa.array(texts, pa.string()), "__lines": pa.array(n_lines, pa.int64()), "__dropped": pa.array(n_dropped, pa.int64())}
-            kept = [(n, c) for n, c in zip(names, batch.columns) if n not in ("__text", "__gone", "__lines", "__dropped")]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + list(new.values()), [n for n, _ in kept] + list(new))
+            new = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            kept = [c for n, c in zip(names, batch.columns) if n not in (body, told)]
+            yield pa.RecordBatch.from_arrays(kept + new, [*[n for n in names if n not in (body, told)], *added])
 
     kept = [c for c in docs.columns if c != text_col] if keep_columns else []
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in kept])
-    joined = source.join(gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), F.col("__id") == F.col("__gone_id"), "left").drop("__gone_id")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"]
-    done = joined.select(*[f"`{f.name}`" for f in source.schema], "__gone").mapInArrow(drop, ", ".join([*fields, "__text string", "__lines long", "__dropped long"]))
+    added = [body, unused(docs, "__lines"), unused(docs, "__dropped")]
+    source = docs.select(F.col(id_col).cast("long").alias(own_id), F.col(text_col).alias(body), *[F.col(f"`{c}`") for c in kept])
+    asked = gone.select(F.col("doc_id").alias(f"{told}_id"), F.col("gone").alias(told))
+    joined = source.join(asked, F.col(own_id) == F.col(f"{told}_id"), "left").select(*[f"`{c}`" for c in source.columns], told)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != body]
+    done = joined.mapInArrow(drop, ", ".join([*fields, f"{body} string", f"{added[1]} long", f"{added[2]} long"]))
     if keep_columns:
-        return done.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    return done.select(F.col("__id").alias("doc_id"), F.coalesce("__text", F.lit("")).alias("text"), F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+        return done.select(*[F.col(body).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(F.col(own_id).alias("doc_id"), F.coalesce(body, F.lit("")).alias("text"), F.col(added[1]).alias("n_lines"), F.col(added[2]).alias("n_dropped"))
