@@ -13,10 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, a folder of our own only where it is unset (tests)."""
+    """Make checkpoint() usable: the cluster's spark.checkpoint.dir; where it is unset a folder of our own, in local mode (tests) only."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with further underscores the first that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -25,6 +36,20 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes up to which a table that has been counted is broadcast, and bytes that a partition of one should have.
+SMALL_BYTES, PART_BYTES = 2_000_000, 8_000_000
+
+
+def compact(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, which is materialized, in no more partitions than its rows need: few rows in many partitions make many tiny shuffle files."""
+    return df.coalesce(max(1, -(-df.count() * row_bytes // PART_BYTES)))
+
+
+def side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, which is materialized, as a side of a join: broadcast if its rows, counted, are small, and else shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
+
+
 #: Rows of whole texts that go to Python at a time, where the session leaves Spark's default.
 BATCH_ROWS = 1_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialized
+from strandloom.llm.common import compact, materialized
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     checkpoint. Repeated links, loops and either direction are fine; a link with a null end is none. No links give no rows.
     """
     edges = materialized(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
-    seen = _sum(edges)
+    edges, seen = compact(edges, 16), _sum(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -27,7 +27,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = materialized(small.where("u <> v").distinct())
-        edges, before, seen = after, seen, _sum(after)
+        edges, before, seen = compact(after, 16), seen, _sum(after)
         if seen == before:
             break
     else:

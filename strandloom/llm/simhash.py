@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts, materialized, slices
+from strandloom.llm.common import SMALL_BYTES, compact, ids_and_texts, materialized, side, slices, unused
 from strandloom.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -128,8 +128,6 @@ SAMPLED, COMMON_FROM, MOST_COMMON = 8, 3, 500_000
 ANCHOR_BITS = 3
 #: Rounds in which a bucket is compared with a leader, before those that are not yet linked there are compared with each other.
 LEADER_ROUNDS = 2
-#: As many ids at most are broadcast to pick texts; more are joined.
-BROADCAST_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -250,10 +248,11 @@ def _labels(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     near = ends.groupBy("node").agg(F.count("*").alias("links"), F.min(F.struct(F.xxhash64("other").alias("h"), "other")).alias("n"))
-    labels = materialized(near.select("node", "links", F.when(F.col("n.h") < F.xxhash64("node"), F.col("n.other")).otherwise(F.col("node")).alias("root")))
+    labels = compact(materialized(near.select("node", "links", F.when(F.col("n.h") < F.xxhash64("node"), F.col("n.other")).otherwise(F.col("node")).alias("root"))), 24)
     for _ in range(2):
-        labels = materialized(labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", "links", F.col("further").alias("root")))
-    return labels
+        further = side(labels, 24).select(F.col("node").alias("root"), F.col("root").alias("further"))
+        labels = compact(materialized(labels.join(further, "root").select("node", "links", F.col("further").alias("root"))), 24)
+    return side(labels, 24)
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -267,8 +266,9 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     if not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
     texts = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
-    copies = materialized(_nodes(texts, shingle))
-    nodes = materialized(copies.groupBy("node", "size", "bits", *PARITY).agg(F.min("doc_id").alias("holder")))
+    copies = compact(materialized(_nodes(texts, shingle)), 100)
+    nodes = compact(materialized(copies.groupBy("node", "size", "bits", *PARITY).agg(F.min("doc_id").alias("holder"))), 100)
+    nodes_side = side(nodes, 100)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -287,25 +287,25 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
 
     def verified(candidates: DataFrame) -> DataFrame:
         """Of the candidates (a, b) those that are similar."""
-        one, other = (nodes.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in ["node", "size", *PARITY]]) for side in ("a", "b"))
+        one, other = (nodes_side.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in ["node", "size", *PARITY]]) for side in ("a", "b"))
         ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        likely = materialized(ordered.join(one, "a").join(other, "b").where(_parities_allow("a_", "b_", similarity)).select("a", "b"))
+        likely = compact(materialized(ordered.join(one, "a").join(other, "b").where(_parities_allow("a_", "b_", similarity)).select("a", "b")), 16)
         wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        holders = materialized(nodes.join(wanted, "node", "left_semi").select(F.col("holder").alias("doc_id")).distinct())
-        if holders.count() <= BROADCAST_IDS:
-            holders = F.broadcast(holders)
+        holders = compact(materialized(nodes.join(wanted, "node", "left_semi").select(F.col("holder").alias("doc_id")).distinct()), 8)
         # A row of such an id may hold another text; what no candidate names falls out of the joins.
-        hashed = materialized(texts.join(holders, "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+        hashed = materialized(texts.join(side(holders, 8), "doc_id", "left_semi").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+        if hashed.agg(F.coalesce(F.sum(F.length("hashes") + 16), F.lit(0))).first()[0] <= SMALL_BYTES:
+            hashed = F.broadcast(hashed)
         a, b = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("one")), hashed.select(F.col("node").alias("b"), F.col("hashes").alias("other"))
-        return materialized(likely.join(a, "a").join(b, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
+        return compact(materialized(likely.join(a, "a").join(b, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")), 16)
 
-    groups = materialized(nodes.groupBy("bits").agg(F.min("node").alias("first")))
-    same = nodes.join(groups, "bits").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = compact(materialized(nodes.groupBy("bits").agg(F.min("node").alias("first"))), 16)
+    same = nodes.join(side(groups, 16), "bits").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = links(groups, ANCHOR_BITS).join(groups.select(F.col("bits").alias("a"), F.col("first").alias("x")), "a").join(groups.select(F.col("bits").alias("b"), F.col("first").alias("y")), "b")
     found = [verified(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))]
 
     left = _members(texts, shingle, similarity).join(_labels(found[0]), "node", "left").select("bucket", "node", "place", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    left = materialized(_unlinked(left))
+    left = compact(materialized(_unlinked(left)), 48)
     row, lead = ["root", "node", "place", "size"], [F.col(c).alias(f"lead_{c}") for c in ("root", "node", "place", "size")]
     share = _shared(F.col("size"), F.col("lead_size"), similarity)  # so many shingles at least are shared, this one and later ones
     fits = (F.col("root") != F.col("lead_root")) & (F.col("size") - F.col("place") >= share) & (F.col("lead_size") - F.col("lead_place") >= share)
@@ -314,10 +314,10 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
         led = left.join(first.select("bucket", *lead), "bucket")
         found.append(verified(led.where(fits).select(F.col("node").alias("a"), F.col("lead_node").alias("b"))))
         rest = led.where("node <> lead_node").select("bucket", "node", "place", "size").join(_labels(reduce(DataFrame.unionByName, found)), "node", "left")
-        left = materialized(_unlinked(rest.select("bucket", "node", "place", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))))
+        left = compact(materialized(_unlinked(rest.select("bucket", "node", "place", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))), 48)
 
     # Members whose sizes allow it meet: those of one size class, and those of a class with the next.
-    known = left.join(nodes.select("node", *PARITY), "node").withColumn("class", F.floor(F.log(F.col("size")) / math.log(1 / similarity) + 1e-9) if similarity < 1 else F.col("size").cast("long"))
+    known = left.join(nodes_side.select("node", *PARITY), "node").withColumn("class", F.floor(F.log(F.col("size")) / math.log(1 / similarity) + 1e-9) if similarity < 1 else F.col("size").cast("long"))
     others = known.select(F.col("bucket").alias("there"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("met"), F.col("class").alias("own"), *lead, *[F.col(p).alias(f"lead_{p}") for p in PARITY])
     once = (F.col("met") < F.col("own")) | (F.col("node") < F.col("lead_node"))
     meet = (F.col("bucket") == F.col("there")) & (F.col("class") == F.col("met")) & once & fits & _parities_allow("", "lead_", similarity)
@@ -332,6 +332,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     copies, pairs = similar_pairs(docs, shingle, similarity, id_col, text_col)
     classes = materialized(copies.join(components(pairs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = classes.join(least, "root").where("doc_id > least").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    least, name = classes.groupBy("root").agg(F.min("doc_id").alias("least")), unused(docs, "__gone")
+    gone = classes.join(least, "root").where("doc_id > least").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
