@@ -13,7 +13,7 @@ Rows that repeat come out as often as they go in. Empty tables give no rows, or
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ids_and_texts, slices, small_batches
+from strandloom.llm.common import ids_and_texts, materialized, slices, small_batches, unused
 
 #: A-Z to lower case; digits, letters and all bytes from 0x80 on stay; anything else parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BLOCK_BYTES = 4_000_000
+#: Words of an item that stay together; a longer one goes in pieces that overlap, so that each window is in one.
+PIECE_WORDS = 100_000
 SHINGLE = 3
 
 
@@ -126,6 +128,18 @@ def _counts(texts: DataFrame, shingles: Shingles) -> dict[int, int]:
 def _probes(texts: DataFrame, items: DataFrame, window: int, item_col: str, item_text_col: str) -> list:
     """A broadcast probe for each block of items."""
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, parts = [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                    ids.append(item_id)
+                    parts.append(b" ".join(words[at : at + PIECE_WORDS + window - 1]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], ["item_id", "text"])
+
+    items = materialized(items.mapInArrow(cut, "item_id long, text string"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     out = []
@@ -136,9 +150,8 @@ def _probes(texts: DataFrame, items: DataFrame, window: int, item_col: str, item
     return out
 
 
-def _found(source: DataFrame, probe, text_col: str) -> DataFrame:
-    """source and its __words (how many), __hits (places) and __items."""
-
+def _found(source: DataFrame, probe, text_col: str, added: Sequence[str] = ("__words", "__hits", "__items")) -> DataFrame:
+    """source and what is added: the number of words, the places that are hit, and the items."""
     small_batches(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +164,12 @@ def _found(source: DataFrame, probe, text_col: str) -> DataFrame:
                 counts.append(len(words))
                 hits.append(places.tolist())
                 items.append(sorted(own))
-            for name, values, kind in (("__words", counts, pa.int64()), ("__hits", hits, pa.list_(pa.int32())), ("__items", items, pa.list_(pa.int64()))):
+            for name, values, kind in zip(added, (counts, hits, items), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))):
                 batch = batch.append_column(name, pa.array(values, kind))
             yield batch
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, fields + ", __words long, __hits array<int>, __items array<long>")
+    return source.mapInArrow(run, f"{fields}, `{added[0]}` long, `{added[1]}` array<int>, `{added[2]}` array<long>")
 
 
 def _contaminated(n_words: Column, n_hit: Column, share: int) -> Column:
@@ -194,7 +207,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20,
     texts = ids_and_texts(docs, id_col, text_col)
     probes = _probes(texts, items, window, item_col, item_text_col)
     if len(probes) > 1:  # a row is judged by its own text, whatever other rows share its id
-        bad = _judged(texts, probes, share).where("contaminated").select(F.col("__text").alias("__bad")).distinct()
-        return docs.join(bad, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__bad"), "left_anti")
-    kept = _found(docs, probes[0], text_col)
-    return kept.where(~_contaminated(F.col("__words"), F.size("__hits"), share)).drop("__words", "__hits", "__items")
+        key = unused(docs, "__bad")
+        bad = _judged(texts, probes, share).where("contaminated").select(F.col("__text").alias(key)).distinct()
+        return docs.join(bad, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col(key), "left_anti")
+    added = [unused(docs, name) for name in ("__words", "__hits", "__items")]
+    kept = _found(docs, probes[0], text_col, added)
+    return kept.where(~_contaminated(F.col(added[0]), F.size(added[1]), share)).drop(*added)

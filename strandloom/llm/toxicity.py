@@ -213,16 +213,25 @@ def _fit_field(sequences: list[tuple[list[str], np.ndarray]]) -> tuple[dict[str,
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_A_KIND) -> Tagger:
-    """Fit on at most sample labelled rows of each kind, the least by a hash of their id; labels must hold training rows only."""
+    """Fit on at most sample labelled rows of each kind, the least by a hash of their id; labels must hold training rows only.
+
+    An id with several labels has the greatest; of documents that share an id each is a row. Rows with a null id or label are left out.
+    """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     kinds = [rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]))  # 2 * sample rows at most
     got = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "y").toArrow().sort_by("id")
     return fit(got["text"].to_pylist(), got["y"].to_pylist())
 
 
-def score(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans_from: float = 0.5) -> DataFrame:
-    """docs and __score (0 to 1) and __spans, the offsets of runs of tokens with marginals of at least spans_from: array of (start, end)."""
+def score(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans_from: float = 0.5, score_col: str = "__score", spans_col: str = "__spans") -> DataFrame:
+    """docs and a score (0 to 1) and spans, the offsets of runs of tokens with marginals of at least spans_from: array of (start, end).
+
+    Null and empty texts have no tokens and get the score of none. Rows that repeat get equal scores; other columns stay, and must not have the two names.
+    """
+    if {score_col.lower(), spans_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {score_col} or {spans_col}; name others")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
@@ -232,11 +241,11 @@ def score(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans_from: f
             texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
             marginals = own.token_marginals([TOKEN.findall(t) for t in texts])
             spans = [_spans(t, m >= spans_from) for t, m in zip(texts, marginals)]
-            batch = batch.append_column("__score", pa.array([own.score(m) for m in marginals], pa.float64()))
-            yield batch.append_column("__spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            batch = batch.append_column(score_col, pa.array([own.score(m) for m in marginals], pa.float64()))
+            yield batch.append_column(spans_col, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}{', ' if fields else ''}__score double, __spans array<struct<start: int, end: int>>")
+    return docs.mapInArrow(run, f"{fields}{', ' if fields else ''}`{score_col}` double, `{spans_col}` array<struct<start: int, end: int>>")
 
 
 def _spans(text: str, marked: np.ndarray) -> list[dict]:

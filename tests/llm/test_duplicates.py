@@ -97,12 +97,12 @@ def brute_lines(rows):
 LINES = [(4, "A common line here\nunique in four\n  a COMMON line here\t\nshort"), (2, "a common line here \r\nshort\n\n"), (9, None), (8, ""), (3, "éééééééééé\nééééééééé\n"), (5, "Éééééééééé\néééééééééé\nééééééééé"), (5, "repeated row five\na common line here"), (None, "a common line here"), (6, "repeated row five"), (7, "x\n" * 5000 + "a common line here")]
 
 
-def test_lines_against_brute_force(spark):
+def test_lines_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, "n", 1) for r in LINES], "doc_id long, text string, gone string, h1 int")
-    for hot in (lines.HOT_SHARE, 3):
-        lines.HOT_SHARE, before = hot, lines.HOT_SHARE
+    for hot, least, probes in ((20_000, 10_000, 250_000), (3, 2, 250_000), (20_000, 10_000, 1), (20_000, 4, 2)):
+        for name, value in (("HOT_SHARE", hot), ("HOT_LEAST", least), ("SHARD_PROBES", probes)):
+            monkeypatch.setattr(lines, name, value)
         got = lines.dedup_lines(docs).collect()
-        lines.HOT_SHARE = before
         assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got) == brute_lines(LINES)
     kept = lines.dedup_lines(docs, keep_columns=True)
     assert kept.columns == docs.columns and {r.text for r in kept.where("doc_id = 9").collect()} == {None}
@@ -114,9 +114,18 @@ def test_perfect_hash():
 
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
-        keys = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        built = lines.PerfectHash.from_bytes(*lines.PerfectHash.build(keys).to_bytes())
-        assert sorted(built.places(keys).tolist()) == list(range(len(keys)))
+        h1, h2 = r.integers(-(2**63), 2**63 - 1, n), np.arange(n)
+        built = lines.PerfectHash.from_bytes(*lines.PerfectHash.build(h1, h2).to_bytes())
+        assert sorted(built.places(h1, h2).tolist()) == list(range(n))
+
+
+def test_lines_whose_first_64_bits_agree():
+    import numpy as np
+
+    h1, h2, counts, owners = (np.array(x, np.int64) for x in ([5, 5, 9, 5], [1, 2, 1, -7], [2, 3, 4, 5], [10, 20, 30, 40]))
+    shard = lines.Shard(lines._build(0, h1, h2, counts, owners))
+    got, owner = shard.look_up(np.array([5, 5, 9, 5, 9, 4]), np.array([2, -7, 1, 1, 2, 1]))
+    assert got.tolist() == [3, 5, 4, 2, 0, 0] and owner[:4].tolist() == [20, 40, 30, 10]
 
 
 def test_minhash(spark):

@@ -3,14 +3,14 @@ import re
 
 import numpy as np
 
-from strandloom.llm import decontamination, fixity, licenses, quality, toxicity
+from strandloom.llm import decontamination, fixity, licenses, lines, quality, simhash, toxicity
 
 
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def test_decontamination_against_all_windows(spark):
+def test_decontamination_against_all_windows(spark, monkeypatch):
     passage = " ".join(f"w{i}" for i in range(30))
     items = [(11, passage), (2, "Short Item"), (3, None), (4, ""), (None, "lost item"), (5, "solo"), (2, "second text of two")]
     docs = [(1, passage), (2, "x " * 500 + passage[:60]), (3, "a short-item b"), (4, None), (5, ""), (6, "solo"), (6, "solo"), (None, passage), (7, " ".join(f"w{i}" for i in range(12))), (8, ("y " * 100 + passage + " ") * 40)]
@@ -31,11 +31,11 @@ def test_decontamination_against_all_windows(spark):
                     hit |= {*range(k, k + n)}
                     own |= found
         want.append((str(i), len(w), len(hit), sorted(own), 0 < len(hit) and 20 * len(hit) >= len(w)))
-    for size in (decontamination.BLOCK_BYTES, 40):
-        decontamination.BLOCK_BYTES, before = size, decontamination.BLOCK_BYTES
+    for size, piece in ((decontamination.BLOCK_BYTES, decontamination.PIECE_WORDS), (40, decontamination.PIECE_WORDS), (decontamination.BLOCK_BYTES, 4), (200, 1)):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontamination, "PIECE_WORDS", piece)
         got = decontamination.scan(table, bench).collect()
         kept = decontamination.clean(table, bench)
-        decontamination.BLOCK_BYTES = before
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in got) == sorted(want)
         assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in decontamination.clean(table, bench).collect()) == sorted(w[0] for w in want if not w[4])
@@ -54,6 +54,25 @@ def test_clean_judges_each_row_by_its_own_text_in_any_number_of_blocks(spark, mo
         assert sorted(str(tuple(r)) for r in decontamination.clean(table, bench).collect()) == want
 
 
+def test_columns_that_clash_with_our_own_stay(spark):
+    names = ["__words", "__hits", "__items", "__bad", "__gone", "__id", "__text", "__told", "__lines", "__dropped"]
+    docs = spark.createDataFrame([(1, "one line that repeats\nalone", *names), (2, "One line that repeats \nother", *names)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    for kept in (decontamination.clean(docs, bench), lines.dedup_lines(docs, keep_columns=True), simhash.drop_near_copies(docs)):
+        assert kept.columns == docs.columns and all(r[2:] == tuple(names) for r in kept.collect()) and kept.count() == 2
+
+
+def test_training_tables_with_nulls_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, "bad awful words" if i % 2 else "good plain words", "x") for i in range(40)] + [(3, None, "x"), (None, "text", "x")], "doc_id long, text string, id string")
+    labels = [(i, i % 2, i % 2, 0) for i in range(40)] + [(3, 1, 1, 0), (3, 0, 0, 0), (None, 1, 1, 0), (5, None, None, 0), (99, 1, 1, 0)]
+    for part in (labels, labels[:1], []):
+        table = spark.createDataFrame(part, "doc_id long, toxic int, quality int, y int")
+        for module, column in ((toxicity, "toxic"), (quality, "quality")):
+            model = module.train(docs, table, column)
+            got = [r["__score" if module is toxicity else "score"] for r in module.score(docs, model).collect()]
+            assert len(got) == 42 and all(0 <= x <= 1 for x in got)
+
+
 def test_license_scan(spark):
     notice = dict(licenses.TEMPLATES[::-1])["MIT"]
     docs = [(1, "some text before it\n" + notice.upper() + "\nand more text after it"), (2, notice), (3, None), (4, ""), (5, "Released under the"), (6, "word " * 5000), (2, notice), (None, notice)]
