@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination, lines, packing, simhash, toxicity
-from strandloom.llm.common import materialized, table
+from strandloom.llm.common import materialized, table, unused
 from strandloom.session import ship
 
 TOXIC_FROM = 0.7
@@ -21,7 +21,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger, fitted on the labelled rows among them, does not reject."""
     tagger = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
-    return toxicity.score(docs, tagger).where(F.col("__score") < TOXIC_FROM).drop("__score", "__spans")
+    names = unused(docs, "__score"), unused(docs, "__spans")
+    return toxicity.score(docs, tagger, score_col=names[0], spans_col=names[1]).where(F.col(names[0]) < TOXIC_FROM).drop(*names)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
