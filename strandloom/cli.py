@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.operators import analytics, order
+from strandloom.operators.reduce import best_both_ways
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches
 from strandloom.session import ship
 from strandloom.sources import fastx, sinks
@@ -55,19 +56,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
 
 
 def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
-    queries = fastx.read_sequences(spark, [a.query] if a.query else fastx.read_path_list(spark, a.ql))
-    references = fastx.read_sequences(spark, [a.reference] if a.reference else fastx.read_path_list(spark, a.rl))
+    paths = [[one] if one else fastx.read_path_list(spark, listed) for one, listed in ((a.query, a.ql), (a.reference, a.rl))]
+    queries, references = (fastx.read_sequences(spark, p) for p in paths)
     queries, references = queries.drop("seq_raw"), references.drop("seq_raw")
     config = Config(**{f: getattr(a, f) for f in Config.__dataclass_fields__}).checked()
     found = compare_split(queries, references, config, a.split) if a.split else compare(queries, references, config)
     sinks.write_lines(sinks.ani_lines(found), a.output)
     if a.matrix:
-        names = [r[0] for side in (queries, references) for r in side.select("genome").distinct().orderBy("genome").collect()]
-        lines = sinks.phylip_lines(found, names)
+        names = {r[0] for side in (queries, references) for r in side.select("genome").distinct().collect()}
+        lines = sinks.phylip_lines(found, fastx.as_listed(names, paths[0] + paths[1]))
         sinks.write_lines(spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1), a.output + ".matrix")
     if a.visualize:
         tiles, _ = query_sketches(queries, config)
-        points = sinks.visualization_lines(map_fragments(queries, references, config), sinks.offsets(references), tiles)
+        points = sinks.visualization_lines(best_both_ways(map_fragments(queries, references, config), config.fragment), sinks.offsets(references), tiles)
         points.write.mode("overwrite").csv(a.output + ".map", sep="\t", header=True)
 
 

@@ -21,9 +21,14 @@ def best_per_bin(mappings: DataFrame, fragment: int) -> DataFrame:
     return _first(binned, ["query", "genome", "contig", "place_bin"], F.desc("identity"), F.desc("frag"))
 
 
+def best_both_ways(mappings: DataFrame, fragment: int) -> DataFrame:
+    """The mappings that are best for their fragment and, of those, for their place bin."""
+    return best_per_bin(best_per_fragment(mappings), fragment)
+
+
 def genome_identities(mappings: DataFrame, fragment: int) -> DataFrame:
     """query, genome, ani, mapped of the mappings that are best both ways."""
-    return best_per_bin(best_per_fragment(mappings), fragment).groupBy("query", "genome").agg(F.avg("identity").alias("ani"), F.count("*").alias("mapped"))
+    return best_both_ways(mappings, fragment).groupBy("query", "genome").agg(F.avg("identity").alias("ani"), F.count("*").alias("mapped"))
 
 
 def enough_mapped(pairs: DataFrame, lengths: DataFrame, fragment: int, fraction: float) -> DataFrame:

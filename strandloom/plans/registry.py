@@ -546,4 +546,5 @@ def ordered_contigs(spark, sf_dir):
 @query()
 def visualization_points(spark, sf_dir):
     tiles, _ = query_sketches(_text_queries(spark, sf_dir), TEXT)
-    return sinks.visualization_lines(map_fragments(_text_queries(spark, sf_dir), references(spark, sf_dir), TEXT), sinks.offsets(references(spark, sf_dir)), tiles)
+    best = reduce.best_both_ways(map_fragments(_text_queries(spark, sf_dir), references(spark, sf_dir), TEXT), TEXT.fragment)
+    return sinks.visualization_lines(best, sinks.offsets(references(spark, sf_dir)), tiles)

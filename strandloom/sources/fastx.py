@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +35,19 @@ def records(content: bytes) -> Iterator[tuple[str, str]]:
         yield name, "".join(parts)
 
 
+def as_listed(genomes: Iterable[str], paths: list[str]) -> list[str]:
+    """The genomes (paths as Spark gives them) in the order in which the paths first name them; those that none names follow by name."""
+
+    def plain(path: str) -> str:
+        found = urlparse(path)
+        return unquote(found.path) if found.scheme else os.path.abspath(path)
+
+    place: dict[str, int] = {}
+    for path in paths:
+        place.setdefault(plain(path), len(place))
+    return sorted(genomes, key=lambda g: (place.get(plain(g), len(place)), g))
+
+
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """genome (the path), contig, name, seq (normalised), seq_raw: a row for each record; files are read where the tasks run.
 

@@ -2,7 +2,7 @@ import random
 
 from strandloom import cli
 from strandloom.operators import sketch
-from strandloom.sources import index
+from strandloom.sources import fastx, index
 from strandloom.streaming import arrivals
 
 
@@ -55,3 +55,11 @@ def test_arrivals_against_a_kept_index(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     spark.sql(f"DROP TABLE {table}")
     assert [(r.genome, r.reference) for r in got] == [("q", "r1")] and got[0].shared > 0.9 * got[0].sketch_size
+
+
+def test_genomes_keep_the_order_of_the_lists(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    genomes = {f"file:{tmp_path}/{n}.fa" for n in "abcd"}
+    got = fastx.as_listed(genomes, [f"{tmp_path}/c.fa", "b.fa", f"file://{tmp_path}/c.fa"])
+    assert got == [f"file:{tmp_path}/{n}.fa" for n in "cbad"]
+    assert fastx.as_listed({"s3://one/x.fa"}, ["s3://one/x.fa"]) == ["s3://one/x.fa"] and fastx.as_listed([], ["a"]) == []
