@@ -102,6 +102,16 @@ def test_fixity_finds_what_differs(spark):
     assert fixity.audit(fixity.manifest(one.limit(0)), fixity.manifest(one.limit(0))).count() == 0
 
 
+def test_fixity_of_null_negative_and_repeated_ids(spark):
+    rows = [(None, f"u{i % 40}", "body", "x") for i in range(200)] + [(-i, "u", f"b{i}", "x") for i in range(1, 1500)] + [(7, "same", f"v{i % 3}", "x") for i in range(30)] + [(8, "long", "z" * 300_000, "x")]
+    schema = "page_id long, url string, html string, hash string"
+    one = spark.createDataFrame(rows, schema)
+    other = spark.createDataFrame([*rows[1:200], *rows[201:-2], rows[-1]][::-1], schema)  # one of five equal null rows, id -1 and one of ten equal rows of id 7 go
+    got = sorted((str(r.id), r.status) for r in fixity.audit(fixity.manifest(one), fixity.manifest(other)).collect())
+    assert got == [("-1", "missing"), ("7", "changed"), ("None", "changed")]
+    assert fixity.audit(fixity.manifest(one), fixity.manifest(spark.createDataFrame(rows[::-1], schema))).count() == 0
+
+
 def test_marginals_against_all_paths():
     r = np.random.default_rng(0)
     scores, lengths, trans = r.normal(size=(5, 4)), np.array([4, 2, 1, 3, 4]), r.normal(size=(2, 2))
