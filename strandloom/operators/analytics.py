@@ -83,13 +83,13 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> Da
     ranked = nodes.select("name", order.alias("rank"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     earlier = both.join(ranked.select(F.col("name").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("name").alias("b"), F.col("rank").alias("rb")), "b").where("rb < ra").select("a", "b", "rb")
-    earlier = _cut(earlier)
-    state = _cut(ranked.select("name", F.lit(None).cast("boolean").alias("rep")))
+    earlier = cut(earlier)
+    state = cut(ranked.select("name", F.lit(None).cast("boolean").alias("rep")))
     for _ in range(rounds):
         known = state.where("rep is not null").select(F.col("name").alias("b"), "rep")
         seen = earlier.join(known, "b", "left").groupBy(F.col("a").alias("name")).agg(F.max("rep").alias("some"), F.count_if(F.col("rep").isNull()).alias("open"))
         decided = F.when(F.col("some"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = _cut(state.join(seen, "name", "left").select("name", F.coalesce("rep", decided).alias("rep")))
+        state = cut(state.join(seen, "name", "left").select("name", F.coalesce("rep", decided).alias("rep")))
         if state.where("rep is null").isEmpty():
             break
     else:
@@ -100,7 +100,8 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> Da
     return members.unionByName(reps.select("name", F.col("name").alias("representative")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed into the folder that spark.checkpoint.dir names."""
     import tempfile
 
     context = df.sparkSession.sparkContext

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandloom.config import Config
 from strandloom.functions import sequences as sq
 from strandloom.functions import statistics as st
-from strandloom.operators import analytics, intervals, mapping, order, reduce, seeds, sketch
+from strandloom.operators import analytics, intervals, mapping, order, reduce, seeds, sketch, studies
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches, reference_index
 from strandloom.sources import sinks
 from strandloom.sources.tables import load, passages, references
@@ -355,14 +355,101 @@ def _genome_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.greedy_clusters(nodes, edges)
 
 
-@query()
+_NODES = "nodes AS (SELECT genome AS name, sum(length(seq))::BIGINT AS length FROM refs GROUP BY genome)"
+_METHODS = "methods AS (SELECT 'all' AS method, least(query, reference) AS a, greatest(query, reference) AS b, ani FROM a WHERE query <> reference UNION ALL SELECT 'few', least(query, reference), greatest(query, reference), ani FROM b WHERE query <> reference)"
+_AVERAGED = f"{_METHODS}, averaged AS (SELECT method, a, b, round(avg(ani), 6) AS ani, count(*) AS directions FROM methods GROUP BY ALL UNION ALL SELECT m.method, name, name, 100.0::DOUBLE, 0 FROM nodes, (SELECT DISTINCT method FROM methods) m)"
+THRESHOLDS = (88.0, 92.0, 95.0)
+
+
+def _greedy(groups: str, links: str) -> str:
+    """CTE members (method, threshold, name, representative): node by node down the order, each to the first representative that is linked with it."""
+    return f"""
+linked AS ({links}),
+both_ways AS (SELECT DISTINCT method, threshold, a AS name, b AS other FROM linked UNION SELECT DISTINCT method, threshold, b, a FROM linked),
+ranked_nodes AS (SELECT method, threshold, name, row_number() OVER (PARTITION BY method, threshold ORDER BY length DESC, name) AS i FROM nodes, ({groups})),
+near AS (SELECT r.method, r.threshold, r.i, any_value(r.name) AS name, coalesce(list(x.i) FILTER (x.i IS NOT NULL), []) AS others FROM ranked_nodes r LEFT JOIN both_ways o USING (method, threshold, name)
+  LEFT JOIN ranked_nodes x ON x.method = r.method AND x.threshold = r.threshold AND x.name = o.other AND x.i < r.i GROUP BY ALL),
+steps AS (SELECT method, threshold, 0::BIGINT AS i, []::BIGINT[] AS reps, 0::BIGINT AS rep FROM ({groups}) UNION ALL
+  SELECT s.method, s.threshold, n.i, CASE WHEN len(list_intersect(s.reps, n.others)) = 0 THEN list_append(s.reps, n.i) ELSE s.reps END, coalesce(list_min(list_intersect(s.reps, n.others)), n.i)
+  FROM steps s JOIN near n ON n.method = s.method AND n.threshold = s.threshold AND n.i = s.i + 1),
+members AS (SELECT s.method, s.threshold, n.name, r.name AS representative FROM steps s JOIN ranked_nodes n USING (method, threshold, i) JOIN ranked_nodes r ON r.method = s.method AND r.threshold = s.threshold AND r.i = s.rep)"""
+
+
+_ONE_SERIES = f"""RECURSIVE {_ANI}, {_NODES}, {_greedy("SELECT 'all' AS method, 92.0::DOUBLE AS threshold", "SELECT 'all' AS method, 92.0::DOUBLE AS threshold, query AS a, reference AS b FROM a WHERE ani >= 92 AND query <> reference")}"""
+
+
+@query(f"WITH {_ONE_SERIES} SELECT name, representative FROM members")
 def greedy_clusters(spark, sf_dir):
     return _genome_clusters(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_ONE_SERIES}, m AS (SELECT *, split_part(name, '/', 1) AS lang FROM members), p AS (SELECT x.lang = y.lang AS t, x.representative = y.representative AS f FROM m x, m y WHERE x.name < y.name),
+n AS (SELECT count(*) FILTER (t AND f)::DOUBLE AS tp, count(*) FILTER (f AND NOT t)::DOUBLE AS fp, count(*) FILTER (t AND NOT f)::DOUBLE AS fn FROM p),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0::DOUBLE END AS recall FROM n)
+SELECT tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END, 9) AS f1 FROM r""")
 def cluster_pair_statistics(spark, sf_dir):
-    return analytics.partition_agreement(_genome_clusters(spark, sf_dir).withColumn("lang", F.split("name", "/")[0]), "lang", "representative")
+    row = analytics.partition_agreement(_genome_clusters(spark, sf_dir).withColumn("lang", F.split("name", "/")[0]), "lang", "representative")
+    return row.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _averaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """name, length of the genomes; method, a, b, ani, directions of both sizes of sketches."""
+    nodes = references(spark, sf_dir).groupBy(F.col("genome").alias("name")).agg(F.sum(F.length("seq")).alias("length"))
+    tables = [studies.averaged_pairs(t, nodes).select(F.lit(m).alias("method"), "a", "b", F.round("ani", 6).alias("ani"), "directions") for m, t in zip(("all", "few"), _two_tables(spark, sf_dir))]
+    return nodes, tables[0].unionByName(tables[1])
+
+
+@query(f"WITH {_ANI}, {_NODES}, {_AVERAGED} SELECT method, a, b, ani, directions::BIGINT AS directions FROM averaged")
+def averaged_pairs(spark, sf_dir):
+    return _averaged(spark, sf_dir)[1]
+
+
+_SERIES = f"""RECURSIVE {_ANI}, {_NODES}, {_AVERAGED}, listed AS (SELECT unnest([{", ".join(map(str, THRESHOLDS))}])::DOUBLE AS threshold),
+{_greedy("SELECT method, threshold FROM (SELECT DISTINCT method FROM methods), listed", "SELECT method, threshold, a, b FROM averaged, listed WHERE a <> b AND ani >= threshold")}"""
+
+
+@query(f"WITH {_SERIES} SELECT * FROM members")
+def threshold_clusters(spark, sf_dir):
+    return studies.threshold_clusters(*_averaged(spark, sf_dir), list(THRESHOLDS))
+
+
+@query(f"""WITH {_SERIES}, sized AS (SELECT method, threshold, representative, count(*) AS n, list(name ORDER BY name) AS held FROM members GROUP BY ALL),
+shape AS (SELECT method, threshold, sum(n)::BIGINT AS genomes, count(*) AS clusters, count(*) FILTER (n > 1) AS many, max(n) AS largest FROM sized GROUP BY ALL),
+edges AS (SELECT method, threshold, count(*) FILTER (a <> b AND ani >= threshold) AS edges, count(*) AS pairs FROM averaged, listed GROUP BY ALL),
+same AS (SELECT threshold, count(*) FILTER (x.representative = t.representative) AS same FROM members x JOIN members t USING (threshold, name) WHERE x.method = 'few' AND t.method = 'all' GROUP BY threshold),
+found AS (SELECT threshold, count(*) AS overlap, count(*) FILTER (x.held = t.held) AS exact FROM sized x JOIN sized t USING (threshold, representative) WHERE x.method = 'few' AND t.method = 'all' GROUP BY threshold),
+cells AS (SELECT threshold, x.name, x.representative AS f, t.representative AS t FROM members x JOIN members t USING (threshold, name) WHERE x.method = 'few' AND t.method = 'all'),
+n AS (SELECT threshold, count(*) FILTER (x.t = y.t AND x.f = y.f) AS tp, count(*) FILTER (x.f = y.f AND x.t <> y.t) AS fp, count(*) FILTER (x.t = y.t AND x.f <> y.f) AS fn FROM cells x JOIN cells y USING (threshold) WHERE x.name < y.name GROUP BY threshold),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 1.0::DOUBLE END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 1.0::DOUBLE END AS re FROM n)
+SELECT m.method, threshold AS threshold_ani, m.genomes AS n_genomes, m.clusters AS n_clusters, t.clusters AS truth_n_clusters, m.clusters - t.clusters AS cluster_delta_vs_truth, m.many AS n_non_singleton_clusters,
+  t.many AS truth_n_non_singleton_clusters, m.largest AS largest_cluster_size, t.largest AS truth_largest_cluster_size, e.edges AS n_edges_ge_threshold, u.edges AS truth_edges_ge_threshold, e.edges - u.edges AS edge_delta_vs_truth,
+  e.pairs AS averaged_pairs_with_self, (m.genomes * (m.genomes + 1) // 2)::BIGINT AS expected_averaged_pairs_with_self, (m.genomes * (m.genomes + 1) // 2 - e.pairs)::BIGINT AS missing_averaged_pairs_with_self,
+  coalesce(overlap, 0) AS representative_overlap, round(coalesce(overlap, 0) / m.clusters::DOUBLE, 6) AS representative_precision, round(coalesce(overlap, 0) / t.clusters::DOUBLE, 6) AS representative_recall,
+  same AS same_representative_genomes, round(same / m.genomes::DOUBLE, 6) AS same_representative_fraction, coalesce(exact, 0) AS exact_truth_clusters_recovered, round(coalesce(exact, 0) / t.clusters::DOUBLE, 6) AS exact_truth_cluster_recovery,
+  tp AS pair_tp, fp AS pair_fp, fn AS pair_fn, round(pr, 6) AS pair_precision, round(re, 6) AS pair_recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0::DOUBLE END, 6) AS pair_f1
+FROM (SELECT * FROM shape WHERE method = 'few') m JOIN (SELECT * FROM shape WHERE method = 'all') t USING (threshold) JOIN (SELECT * FROM edges WHERE method = 'few') e USING (threshold) JOIN (SELECT * FROM edges WHERE method = 'all') u USING (threshold)
+  JOIN same USING (threshold) LEFT JOIN found USING (threshold) JOIN r USING (threshold)""")
+def threshold_series(spark, sf_dir):
+    out = studies.threshold_series(*_averaged(spark, sf_dir), "all", list(THRESHOLDS))
+    return out.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" and f.name != "threshold_ani" else f.name for f in out.schema])
+
+
+_ASKS = "('0x' || substr(md5(repeat || '/' || {}), 1, 8))::BIGINT % 4 = 0"
+
+
+@query(f"""WITH {_ANI}, {_NODES}, {_AVERAGED}, rounds AS (SELECT unnest(generate_series(1, 10))::INT AS repeat), ks AS (SELECT unnest([1, 3]) AS k),
+ways AS (SELECT method, a AS query, b AS found, ani FROM averaged WHERE a <> b UNION ALL SELECT method, b, a, ani FROM averaged WHERE a <> b),
+asked AS (SELECT * FROM ways, rounds WHERE {_ASKS.format("query")} AND NOT ({_ASKS.format("found")})),
+placed AS (SELECT *, row_number() OVER (PARTITION BY repeat, query, method ORDER BY ani DESC, found) AS place FROM asked),
+top AS (SELECT * FROM placed, ks WHERE place <= k),
+every AS (SELECT name AS query, repeat, k, 'few' AS method FROM nodes, rounds, ks WHERE {_ASKS.format("name")}),
+t AS (SELECT repeat, query, k, count(*) AS truth_size, max(ani) AS truth_best FROM top WHERE method = 'all' GROUP BY ALL),
+m AS (SELECT x.repeat, x.query, x.k, count(*) AS method_size, count(y.found) AS recovered FROM top x LEFT JOIN top y ON y.method = 'all' AND y.repeat = x.repeat AND y.query = x.query AND y.k = x.k AND y.found = x.found WHERE x.method = 'few' GROUP BY ALL)
+SELECT e.repeat, e.query, e.method, e.k, coalesce(truth_size, 0) AS truth_size, coalesce(method_size, 0) AS method_size, coalesce(recovered, 0) AS recovered, round(coalesce(recovered, 0) / e.k::DOUBLE, 6) AS recall, truth_best
+FROM every e LEFT JOIN t USING (repeat, query, k) LEFT JOIN m USING (repeat, query, k)""")
+def split_recall(spark, sf_dir):
+    nodes, pairs = _averaged(spark, sf_dir)
+    return studies.split_recall(nodes.select("name"), pairs, "all", [1, 3], 10, 4).withColumn("recall", F.round("recall", 6))
 
 
 # Top-1, reductions and orders.
@@ -458,8 +545,7 @@ def counters_rollup(spark, sf_dir):
 @query("""WITH e AS (SELECT o_custkey AS name, o_orderkey % 100 AS other, o_totalprice AS len FROM orders), u AS (SELECT name, len FROM e UNION ALL SELECT other, len FROM e) SELECT name, max(len) AS length FROM u GROUP BY name""")
 def genome_max_lengths(spark, sf_dir):
     rows = load(spark, sf_dir, "orders")
-    sides = [rows.select(c.alias("name"), F.col("o_totalprice").alias("len")) for c in (F.col("o_custkey"), F.col("o_orderkey") % 100)]
-    return sides[0].unionByName(sides[1]).groupBy("name").agg(F.max("len").alias("length"))
+    return studies.side_lengths(rows.withColumn("other", F.col("o_orderkey") % 100), [("o_custkey", "o_totalprice"), ("other", "o_totalprice")])
 
 
 @query("""WITH r AS (SELECT l_orderkey AS name, l_partkey % 20 AS ref, l_suppkey AS start, l_suppkey + l_quantity AS "end", l_quantity AS len FROM lineitem),
