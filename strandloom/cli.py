@@ -1,4 +1,4 @@
-"""Command line: compare collections of sequence files, order contigs, and compare two identity tables."""
+"""Command line: compare collections of sequence files, order contigs, compare two identity tables, and study methods against a truth."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import Config
-from strandloom.operators import analytics, order
+from strandloom.operators import analytics, order, studies
 from strandloom.operators.reduce import best_both_ways
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches
 from strandloom.session import ship
@@ -45,6 +45,14 @@ def parser() -> argparse.ArgumentParser:
     tables.add_argument("--joined")
     tables.add_argument("--summary", required=True)
     tables.add_argument("--average-pairs", action="store_true")
+    study = commands.add_parser("study", help="clusters and neighbours of methods against a table of true identities")
+    study.add_argument("truth", help="tab-parted, with genome1, genome2, query_length, subject_length and the identities")
+    study.add_argument("prefix")
+    study.add_argument("--value", required=True, help="the truth's column of identities")
+    study.add_argument("--method", nargs=3, action="append", required=True, metavar=("NAME", "TABLE", "SCALE"))
+    study.add_argument("--thresholds", nargs="+", type=float, default=[95.0])
+    study.add_argument("--ks", nargs="+", type=int, default=[1, 5, 10])
+    study.add_argument("--repeats", type=int, default=10)
     return top
 
 
@@ -52,7 +60,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("strandloom").getOrCreate()
     ship(spark)
-    {"compare": _compare, "order": _order, "agree": _agree}[a.command](spark, a)
+    {"compare": _compare, "order": _order, "agree": _agree, "study": _study}[a.command](spark, a)
 
 
 def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -92,5 +100,27 @@ def _agree(spark: SparkSession, a: argparse.Namespace) -> None:
         pairs.orderBy("query", "reference").write.mode("overwrite").csv(a.joined, sep="\t", header=True)
 
 
+def _study(spark: SparkSession, a: argparse.Namespace) -> None:
+    if any(name == "truth" for name, _, _ in a.method):
+        raise ValueError("truth is the name of the true table; a method needs another")
+    rows = fastx.read_truth_table(spark, a.truth, a.value)
+    nodes = studies.side_lengths(rows, [("genome1", "query_length"), ("genome2", "subject_length")])
+    directed = [("truth", rows.select(F.col("genome1").alias("query"), F.col("genome2").alias("reference"), "ani"), 1.0)]
+    directed += [(name, fastx.read_directed_identities(spark, table), float(scale)) for name, table, scale in a.method]
+    pairs = None
+    for name, table, scale in directed:
+        averaged = studies.averaged_pairs(table, nodes, scale).select(F.lit(name).alias("method"), "a", "b", "ani")
+        pairs = averaged if pairs is None else pairs.unionByName(averaged)
+    pairs = analytics.cut(pairs)
+    found = studies.split_recall(nodes.select("name"), pairs, "truth", a.ks, a.repeats)
+    tables = {
+        "clusters": studies.threshold_series(nodes, pairs, "truth", a.thresholds).orderBy("method", "threshold_ani"),
+        "neighbours": found.orderBy("repeat", "query", "method", "k"),
+        "recall": analytics.two_level(found, ["method", "k"], ["repeat"], "recall").orderBy("method", "k"),
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").csv(f"{a.prefix}.{name}.tsv", sep="\t", header=True)
+
+
 if __name__ == "__main__":
     main()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import normalized
+from strandloom.functions.sequences import display_name, normalized
 
 
 def records(content: bytes) -> Iterator[tuple[str, str]]:
@@ -75,17 +75,23 @@ def read_path_list(spark: SparkSession, path: str) -> list[str]:
 
 def read_ani_table(spark: SparkSession, path: str) -> DataFrame:
     """query, reference, ani from the first three of a table's white-space-parted columns; of a pair that repeats the last line holds."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where(F.trim("text") != "")
-    cells = F.split(F.trim("text"), r"\s+")
-    rows = raw.select("line", cells[0].alias("query"), cells[1].alias("reference"), cells[2].cast("double").alias("ani"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))  # lines of a block keep their order
+    cells = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select("value", place.alias("line")).where(F.trim("value") != "").select("line", cells[0].alias("query"), cells[1].alias("reference"), cells[2].cast("double").alias("ani"))
     last = Window.partitionBy("query", "reference").orderBy(F.desc("line"))
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").select("query", "reference", "ani")
 
 
+def read_directed_identities(spark: SparkSession, path: str) -> DataFrame:
+    """query, reference (file names without folders and .gz), ani from the first three of a table's white-space-parted columns; each line is a row."""
+    cells = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select(display_name(cells[0]).alias("query"), display_name(cells[1]).alias("reference"), cells[2].cast("double").alias("ani"))
+
+
 def read_truth_table(spark: SparkSession, path: str, value_col: str) -> DataFrame:
-    """genome1, genome2, query_length, subject_length, ani (from value_col) of a tab-parted table with a header."""
+    """genome1, genome2 (names as above), query_length, subject_length, ani (from value_col) of a tab-parted table with a header."""
     rows = spark.read.csv(path, sep="\t", header=True)
-    return rows.select("genome1", "genome2", F.col("query_length").cast("long").alias("query_length"), F.col("subject_length").cast("long").alias("subject_length"), F.col(value_col).cast("double").alias("ani"))
+    return rows.select(display_name(F.col("genome1")).alias("genome1"), display_name(F.col("genome2")).alias("genome2"), F.col("query_length").cast("long").alias("query_length"), F.col("subject_length").cast("long").alias("subject_length"), F.col(value_col).cast("double").alias("ani"))
 
 
 BLAST_SCHEMA = "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, evalue double, bitscore double, qlen long, slen long, qcovhsp double"
