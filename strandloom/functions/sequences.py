@@ -41,10 +41,6 @@ def floor_div(x: Column, width: int) -> Column:
     return F.floor(x / float(width)).cast("long")
 
 
-def oriented_start(query_start: Column, query_len: Column, k: int, reverse: bool) -> Column:
-    return F.greatest(F.greatest(query_len - query_start, F.lit(0)) - k, F.lit(0)) if reverse else query_start
-
-
 def md5_60(text: Column) -> Column:
     """A hash below 2**60 that other engines have too."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import pair_key
@@ -43,7 +43,7 @@ def agreement(pairs: DataFrame) -> DataFrame:
         F.median(a).alias("median_abs"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(a).alias("max_abs"), F.min(a).alias("min_abs"))
 
 
-def tolerance_recovery(pairs: DataFrame, tolerances: list[float], truth_pairs: Column | None = None) -> DataFrame:
+def tolerance_recovery(pairs: DataFrame, tolerances: list[float]) -> DataFrame:
     """For each tolerance the share of pairs of which both values are so near, and the errors."""
     listed = F.explode(F.array(*[F.lit(float(t)) for t in tolerances])).alias("tolerance")
     d = F.col("delta")
