@@ -85,32 +85,51 @@ def as_text(prints: Column) -> Column:
 
 
 def _bucket(bounds: list[int], key: Column) -> Column:
-    """How many of the ascending bounds are not above key, found in two steps; -1 for a null key."""
+    """How many of the ascending bounds are not above key, found in two steps."""
     step = max(1, int(len(bounds) ** 0.5))
     array = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
     coarse = F.lit(bounds[::step]) if bounds else array
-    at = _let(F.size(F.filter(coarse, lambda x: x <= key)), lambda i: F.when(i == 0, 0).otherwise((i - 1) * step + F.size(F.filter(F.slice(array, (i - 1) * step + 1, step), lambda x: x <= key))))
-    return F.when(key.isNull(), -1).otherwise(at)
+    return _let(F.size(F.filter(coarse, lambda x: x <= key)), lambda i: F.when(i == 0, 0).otherwise((i - 1) * step + F.size(F.filter(F.slice(array, (i - 1) * step + 1, step), lambda x: x <= key))))
+
+
+def _range(cuts: list[int], null_parts: int, key: Column, order: Column) -> Column:
+    """Numbers that rise with (key, order), nulls first. A key that several of the ascending cuts name is parted by order into as many ranges."""
+    bounds = sorted(set(cuts))
+    parts = [cuts.count(b) for b in bounds]
+    bases = [0]
+    for n in parts:
+        bases.append(bases[-1] + n + (n > 1))
+    part = lambda n: F.least(F.floor((order / F.lit(2.0**64) + 0.5) * n), n - 1)
+
+    def placed(at: Column) -> Column:
+        bound, n, base = (F.get(F.lit(x), F.greatest(at - 1, F.lit(0))) for x in (bounds, parts, bases))
+        return F.when(at == 0, F.lit(-1).cast("bigint")).otherwise(base + F.when(n == 1, F.lit(0)).when(key > bound, n).otherwise(part(n)))
+
+    known = _let(_bucket(bounds, key), placed) if bounds else F.lit(0).cast("bigint")
+    return F.when(key.isNull(), part(F.lit(null_parts)) - (null_parts + 1)).otherwise(known)
 
 
 def with_next(rows: DataFrame, values: list[str], key: str = "doc_id", tie: str = "text", derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """rows with what derive adds, row by row, and, as next_<value>, the values of the row that follows by descending key; after the last comes the first.
 
     Rows are dealt into ranges of the key at approximate quantiles, several for each shuffle partition, and each range gets the first row of the
-    range that follows, so that a window over each range is enough. Null keys come last. Equal keys follow by descending tie.
+    range that follows, so that a window over each range is enough. Null keys come last. Equal keys follow by descending hash of tie, and
+    many rows with one key, or without any, are dealt into several ranges by that hash.
     """
     spark = rows.sparkSession
     ranges = 8 * shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)])).first()[0]
-    bounds = sorted(set(cuts or []))
-    dealt = rows.withColumn("__range", _bucket(bounds, F.col(key)))
-    firsts = sorted(dealt.groupBy("__range").agg(F.max(key).alias("first")).collect(), reverse=True)  # one row for each range
-    goes_to = [(own["first"], before["__range"]) for before, own in zip(firsts, firsts[1:] + firsts[:1])]
-    to = spark.createDataFrame(goes_to, "__first long, __to int")
-    copies = rows.join(F.broadcast(to), F.col(key).eqNullSafe(F.col("__first"))).select(*rows.columns, F.col("__to").alias("__range"), F.lit(True).alias("__copy"))
-    order = Window.partitionBy("__range").orderBy("__copy", F.desc_nulls_last(key), F.desc(tie))
-    both = derive(dealt.withColumn("__copy", F.lit(False)).unionByName(copies))
-    return both.select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values]).where("not __copy").drop("__range", "__copy")
+    cuts, total, known = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)]), F.count("*"), F.count(key)).first()
+    hashed = rows.withColumn("__order", F.xxhash64(tie))
+    null_parts = max(1, ranges * (total - known) // max(1, total))
+    dealt = hashed.withColumn("__range", _range(cuts or [], null_parts, F.col(key), F.col("__order")))
+    first = F.max(F.struct(F.col(key).alias("key"), "__order")).alias("first")
+    firsts = sorted(dealt.groupBy("__range").agg(first).collect(), reverse=True, key=lambda r: r["__range"])  # one row for each range
+    goes_to = [(*own["first"], before["__range"]) for before, own in zip(firsts, firsts[1:] + firsts[:1])]
+    to = spark.createDataFrame(goes_to, "__key long, __hash long, __to long")
+    copies = hashed.join(F.broadcast(to), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__order") == F.col("__hash"))).select(*hashed.columns, F.col("__to").alias("__range"), F.lit(True).alias("__copy"))
+    order = Window.partitionBy("__range").orderBy("__copy", F.desc_nulls_last(key), F.desc("__order"), F.desc(tie))
+    both = derive(dealt.withColumn("__copy", F.lit(False)).unionByName(copies.dropDuplicates(["__range"])))
+    return both.select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values]).where("not __copy").drop("__range", "__copy", "__order")
 
 
 def compare_with_edited(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

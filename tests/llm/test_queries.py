@@ -1,0 +1,209 @@
+"""The registered queries over small tables with nulls, ties, repeats, very long texts and clashing columns, held against plain Python; and over empty tables."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from strandloom.llm import minhash, queries
+
+R = random.Random(4)
+WORDS = ["".join(R.choices("abcdefghijklm", k=2 + i % 7)) for i in range(500)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choices(WORDS, k=n))
+
+
+PASSAGE = prose(40, 77)
+SHARED = "A line that several documents share"
+TEXTS = [
+    prose(300, 1), prose(300, 1), prose(300, 1).upper(), prose(300, 1) + " tail", None, "", " \t\n ", "one", f"x\n{SHARED}\ny", f"  {SHARED.lower()} \nz", f"{SHARED}\n{SHARED}", prose(20_000, 2),
+    "intro " + PASSAGE + " end", PASSAGE.upper().replace(" ", "--", 3), prose(30, 5) + "\n" + " ".join(PASSAGE.split()[:12]), "tiny item", "a tiny item is here", "é 　 ünï 漢字 \U0001f600 1234 don't", "\n\n\n", "0123456789\n0123456789", "x" * 30_000,
+]
+DOCS = [(i * 7 % 23, t, "en", f"s{i % 2}", len(t or ""), i, "clash") for i, t in enumerate(TEXTS)]
+ITEMS = [(12, PASSAGE, 0), (3, "tiny item", 0), (3, "unseen words only", 0), (None, prose(20, 1), 0), (5, None, 0), (6, "--", 0), (101, PASSAGE, 0)]
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bits int, items string"
+OTHERS = {"benchmark": (ITEMS, "item_id long, text string, doc_id int"), "pages": ([(1, "u", "<p>"), (98, None, None), (503 + 11, "u", "h"), (None, "n", "b"), (102, "v", "cut")], "page_id long, url string, html string")}
+
+
+def tables(spark, folder, docs, empty=False):
+    labels = [(d[0], i % 2, int(i % 3 == 0), 1) for i, d in enumerate(docs)] + [(None, 1, 1, 1), (99, None, None, 1)]
+    every = {"documents": (docs, DOC_SCHEMA), "labels": (labels, "doc_id long, quality int, toxic int, text int"), **OTHERS}
+    for name, (rows, schema) in every.items():
+        spark.createDataFrame([] if empty else rows, schema).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    return tables(spark, tmp_path_factory.mktemp("junk"), DOCS)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def ids_of(name, text):
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def crc(ids):
+    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_packing(spark, sf):
+    got = queries.op1_best_fit_packing(spark, sf).collect()
+    want = []
+    for doc_id, text, *_ in DOCS:
+        ids = ids_of("word_bpe_49k.json", text)
+        want += [(doc_id, n, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])) for n, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted(tuple(r[:5]) for r in got) == sorted(want)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        ends = [0] + [o + n for o, n in sorted(places)]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_token_files(spark, sf):
+    at, want = 0, []
+    for doc_id, text, *_ in sorted(DOCS, key=lambda d: d[0]):
+        ids = ids_of("byte_bpe_50k.json", text)
+        want.append((doc_id, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert rows(queries.op5_token_files(spark, sf), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+def test_decontamination(spark, sf):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    want = []
+    for doc_id, text, *_ in DOCS:
+        words, hit, found = split(text), set(), set()
+        for item_id, item, _ in ITEMS:
+            own = split(item) if item_id is not None else []
+            n = min(13, len(own))
+            windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+            for i in range(len(words) - n + 1):
+                if n and tuple(words[i : i + n]) in windows:
+                    hit |= {*range(i, i + n)}
+                    found.add(str(item_id))
+        want.append((doc_id, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
+    assert rows(queries.op8_decontamination(spark, sf), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want)
+
+
+def test_line_dedup(spark, sf):
+    key = lambda line: lower(line.strip(" \t\n\v\f\r"))
+    holders = defaultdict(set)
+    for doc_id, text, *_ in DOCS:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 10:
+                holders[key(line)].add(doc_id)
+    want = []
+    for doc_id, text, *_ in DOCS:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == doc_id]
+        want.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert rows(queries.op10_line_dedup(spark, sf), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(want)
+
+
+def hashed(*values, seed=42):
+    """Spark's hash of strings, longs ("q") and ints ("i"), each seeded by the one before."""
+    for kind, value in values:
+        seed = xxhash.xxh64_intdigest(value.encode() if kind == "s" else struct.pack(f"<{kind}", value), seed)
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[ \t\n\v\f\r]+", (text or "").lower()) if w]
+    found = [signed(hashed(("s", w))) for w in words]
+    found = [signed(hashed(*[("q", h) for h in found[i : i + 5]])) for i in range(max(1, len(found) - 4))] if found else []
+    bins = [min((h for h in found if h >> 56 == b), default=None) for b in range(-128, 128)]
+    if not found:
+        return "0" * 256
+    full = []
+    for i, h in enumerate(bins):
+        drawn = (bins[signed(hashed(("i", i), ("i", t))) % 256] for t in range(1, 17))
+        last = min((signed(hashed(("i", i), ("q", x >> 56))), x) for x in bins if x is not None)[1]
+        full.append(h if h is not None else next((x for x in drawn if x is not None), last))
+    return "".join(f"{h & 15:x}" for h in full)
+
+
+def brute_likeness(a, b):
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (1 - 1 / 16))
+
+
+def test_fingerprints(spark, sf):
+    order = sorted(DOCS, reverse=True, key=lambda d: d[0])
+    want = {}
+    for (doc_id, text, *_), (_, after, *_) in zip(order, order[1:] + order[:1]):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        prints = [brute_fingerprint(t) for t in (text, edited, after)]
+        want[doc_id] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], brute_likeness(*prints[:2]), brute_likeness(prints[0], prints[2]))
+    for r in queries.op7_document_fingerprints(spark, sf).collect():
+        assert tuple(r[1:5]) == want[r.doc_id][:4] and r[5:] == pytest.approx(want[r.doc_id][4:], abs=1e-12)
+        want.pop(r.doc_id)
+    assert not want
+
+
+@pytest.mark.parametrize("keys", [[None] * 3000, [5] * 3000, [*range(500), *[7] * 1500, *[None] * 1000], [*range(40), 3, 3, None]])
+def test_following_rows_of_hot_keys(spark, keys):
+    source = [(k, f"t{i}") for i, k in enumerate(keys)]
+    got = minhash.with_next(spark.createDataFrame(source, "doc_id long, text string").repartition(3), ["text"]).collect()
+    place = lambda r: (r[0] is not None, r[0] or 0, signed(hashed(("s", r[1]))))
+    order = sorted(source, key=place, reverse=True)
+    assert {r.text: r.next_text for r in got} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])} and len(got) == len(source)
+
+
+def test_a_hot_key_lies_in_several_ranges(spark):
+    for keys, null_parts in (([9] * 20, 1), ([], 20)):
+        key = 9 if keys else None
+        df = spark.createDataFrame([(key, i) for i in range(2000)], "k long, i long").select(minhash._range(keys, null_parts, minhash.F.col("k"), minhash.F.xxhash64("i")).alias("r"))
+        sizes = [r["count"] for r in df.groupBy("r").count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 200
+
+
+@pytest.mark.parametrize("name, fold, other", [("op4_toxicity", 3, 1), ("op9_quality", 4, 2)])
+def test_scores(spark, sf, name, fold, other):
+    got = queries.queries()[name](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d[0] for d in DOCS)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold == other)
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    docs = DOCS + [(None, "no id", "en", "s", 5, 1, "c"), (None, None, None, None, None, None, None), DOCS[0], (0, "another text of id 0", "en", "s", 0, 1, "c")]
+    sf = tables(spark, tmp_path / "t", docs)
+    for name, query in queries.queries().items():
+        got = query(spark, sf)
+        if name in ("op1_best_fit_packing", "op3_merkle_fixity", "op6_license_scan"):
+            assert got.count() >= 0
+        else:
+            assert got.count() == len(docs), name
+    packed = corpus_pipeline.run(spark, sf)
+    assert packed.select("doc_id").distinct().count() >= 5
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = tables(spark, tmp_path / "t", DOCS, empty=True)
+    for name, query in {**queries.queries(), "pipeline": corpus_pipeline.run}.items():
+        assert query(spark, sf).count() == 0, name
