@@ -91,6 +91,17 @@ def test_license_scan(spark):
     assert got == {k: v for k, v in want.items() if v >= 0.6}
 
 
+def test_whole_license_texts(spark):
+    import textwrap
+
+    whole = {name: text for name, text in licenses.TEMPLATES if len(text.split()) > 100}
+    files = {i: f"Copyright (c) 2020 Some One\n\n{textwrap.fill(text, 76)}\n" for i, text in enumerate(whole.values())}
+    head = "\n".join(f"// {x}" for x in textwrap.wrap(dict(licenses.TEMPLATES[::-1])["Apache-2.0"], 60))
+    files |= {90: textwrap.fill(whole["MIT"], 70) + "\n\n" + "def f(x):\n    return x\n\n" * 400, 91: "x = 1\n\n" + head + "\n\nimport y\n" * 300}
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame([*files.items()], "doc_id long, text string")).where("n_lines > 1").collect()}
+    assert {*enumerate(whole)} | {(90, "MIT")} <= got
+
+
 def test_fixity_finds_what_differs(spark):
     rows = [(i, f"http://x/{i}", "é" * (i % 7) + "<p>") for i in range(0, 3000, 3)] + [(None, "http://n", None), (6, "http://x/6", "twice")]
     one = spark.createDataFrame(rows, "page_id long, url string, html string")
