@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import Config
 from strandloom.functions.sequences import iupac_reverse_complement
 from strandloom.operators import seeds, sketch
+from strandloom.operators.analytics import cut
 
 
 def alignments(contigs: DataFrame, references: DataFrame, config: Config) -> DataFrame:
@@ -31,13 +32,16 @@ def alignments(contigs: DataFrame, references: DataFrame, config: Config) -> Dat
 def placements(contigs: DataFrame, found: DataFrame) -> DataFrame:
     """order (from 1), contig, name, length, reference, start, end, strand, aligned, matches, mapq, status, seq: each contig at its best place, then the unplaced ones.
 
-    Sequences on the reverse strand are turned. The order is one number over all contigs of an assembly, so they are sorted without their sequences.
+    Sequences on the reverse strand are turned. Contigs are numbered within each reference, without their sequences, and from the number of contigs on the references before it.
     """
     best = Window.partitionBy("contig").orderBy(F.desc("aligned"), F.desc("matches"), F.desc("mapq"), "reference", "start")
     top = found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "name", "length")
-    placed = contigs.select("contig", "name", F.length("seq").cast("long").alias("length")).join(top, "contig", "left")
-    place = F.row_number().over(Window.orderBy(F.col("reference").isNull(), "reference", "start", "end", F.desc("length"), "name"))
-    numbered = placed.withColumn("order", place).withColumn("status", F.when(F.col("reference").isNull(), "unplaced").otherwise("placed"))
+    placed = cut(contigs.select("contig", "name", F.length("seq").cast("long").alias("length")).join(top, "contig", "left"))
+    before = F.sum("n").over(Window.orderBy(F.col("there").isNull(), "there").rowsBetween(Window.unboundedPreceding, -1))
+    bases = placed.groupBy(F.col("reference").alias("there")).agg(F.count("*").alias("n")).select("there", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("reference").orderBy("start", "end", F.desc("length"), "name"))
+    ranked = placed.withColumn("__place", place).join(bases, F.col("reference").eqNullSafe(F.col("there")))
+    numbered = ranked.withColumn("order", (F.col("base") + F.col("__place")).cast("int")).withColumn("status", F.when(F.col("reference").isNull(), "unplaced").otherwise("placed"))
     seqs = contigs.select("contig", F.coalesce("seq_raw", "seq").alias("seq") if "seq_raw" in contigs.columns else "seq")
     whole = numbered.join(seqs, "contig").withColumn("seq", F.when(F.col("strand") == "-", iupac_reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     return whole.select("order", "contig", "name", "length", "reference", "start", "end", F.coalesce("strand", F.lit("+")).alias("strand"), F.coalesce("aligned", F.lit(0)).alias("aligned"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("mapq", F.lit(0)).alias("mapq"), "status", "seq")

@@ -139,3 +139,14 @@ def test_order(spark):
     assert sinks.pseudochromosome(placed, 10).first()[0].startswith(ref[2000:4500] + "N" * 10)
     assert sinks.fasta_lines(placed).first()[0].startswith(">0001_left ref=refA:")
     assert sinks.paf_lines(placed, refs).count() == 3
+
+
+def test_order_over_several_references(spark):
+    r = random.Random(3)
+    contigs = [("c", i, f"n{i}", "A" * r.randrange(1, 5)) for i in range(60)]
+    found = [(i, f"n{i}", len(s), f"r{r.randrange(5)}", at := r.randrange(8), at + 3, "+", 3, 3, 60) for _, i, _, s in contigs if i % 4]
+    table = spark.createDataFrame(found, "contig int, name string, length int, reference string, start int, end int, strand string, matches int, aligned int, mapq int")
+    got = order.placements(spark.createDataFrame(contigs, "genome string, contig int, name string, seq string"), table).collect()
+    place = {f[1]: f for f in found}
+    key = lambda c: (place[c[2]][3:6] if c[2] in place else ("~", 0, 0), -len(c[3]), c[2])
+    assert [x.name for x in sorted(got, key=lambda x: x.order)] == [c[2] for c in sorted(contigs, key=key)] and sorted(x.order for x in got) == [*range(1, 61)]
