@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, fixity, licenses, lines, minhash, packing, quality, simhash, token_files, toxicity
+from strandloom.llm import collocations, decontamination, fixity, language_model, licenses, lines, minhash, packing, quality, simhash, token_files, toxicity, whitening
 from strandloom.llm.common import table
 
 
@@ -69,6 +69,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2_000)
+
+
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"), of=7, without=2)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 _RECORD = "'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || coalesce(html, '') || crlf || crlf"
 _TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
 _WORDS = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
@@ -121,6 +133,21 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' O
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_collocations": r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0b\x0c\r]')) AS p FROM texts)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+places AS (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, sizes WHERE len(w) >= k),
+counts AS (SELECT lang, k, p, array_to_string(p, ' ') AS phrase, f FROM (SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM places GROUP BY ALL) WHERE f >= 30),
+cuts AS (SELECT c.lang, c.k, c.p, c.phrase, c.f, a.k AS cut, a.f AS l, b.f AS r, ((2000000::HUGEINT * c.f) // (a.f + b.f))::BIGINT AS score
+  FROM counts c JOIN counts a ON a.lang = c.lang AND a.k < c.k AND a.p = c.p[1:a.k] JOIN counts b ON b.lang = c.lang AND b.k = c.k - a.k AND b.p = c.p[a.k + 1:c.k] WHERE c.k > 1),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM cuts) WHERE pick = 1),
+parts AS (SELECT lang, f, p[i:i + m - 1] AS part, m FROM (SELECT lang, f, k, p, m, unnest(generate_series(1, k - m + 1)) AS i FROM counts, (SELECT unnest([2, 3]) AS m) WHERE m < k)),
+most AS (SELECT lang, part, max(f) AS f FROM parts GROUP BY ALL),
+left_over AS (SELECT l.* FROM lowest l LEFT JOIN most m ON m.lang = l.lang AND m.part = l.p WHERE m.f IS NULL OR 100 * m.f < 80 * l.f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, f AS a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op10_line_dedup": """
 WITH lines AS (
   SELECT doc_id, u.pos, u.line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
