@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import pair_key
@@ -27,20 +27,55 @@ def only_counts(one: DataFrame, other: DataFrame) -> DataFrame:
     return marks.agg(*[F.count_if(c).alias(n) for n, c in (("shared", F.col("p").isNotNull() & F.col("q").isNotNull()), ("one_only", F.col("q").isNull()), ("other_only", F.col("p").isNull()))])
 
 
-def mean_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows and their rank by value, ties sharing the mean; ranks come from counts of each value."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    up_to = F.sum("__n").over(Window.orderBy(value))
-    return rows.join(counts.select(value, (up_to - (F.col("__n") - 1) / 2).alias(name)), value)
+def ranked_values(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """kind, value, n, below: each different value of each named column, how many rows have it and how many have less; nulls are left out.
+
+    Values are counted where they lie, so ties are one row, then ranged by value over all tasks; a range's rows start from the sums of the ranges
+    before it. No task sees more than its range, and only a sum for each range is broadcast. All columns go through one shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(kind).alias("kind"), c.cast("double").alias("value")) for kind, c in columns.items()])
+    counts = rows.select(F.inline(cells)).where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(ranges, "kind", "value").withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("kind", "range").agg(F.sum("n").alias("sum"))
+    earlier = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for a range
+    starts = sums.select("kind", "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
+    less = Window.partitionBy("kind", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("less", F.coalesce(F.sum("n").over(less), F.lit(0)))
+    return within.join(F.broadcast(starts), ["kind", "range"]).select("kind", "value", "n", (F.col("start") + F.col("less")).alias("below"))
+
+
+def exact_quantiles(ranked: DataFrame, points: dict[str, tuple[str, float]]) -> dict[str, float | None]:
+    """By name the quantile (kind, share) of ranked_values(), between the two nearest values in proportion; None where there are no values."""
+    sizes = {r["kind"]: r["n"] for r in ranked.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    places = {name: (kind, share * (sizes[kind] - 1)) for name, (kind, share) in points.items() if kind in sizes}
+    if not places:
+        return dict.fromkeys(points)
+    at = lambda kind, place: F.max(F.when((F.col("kind") == kind) & (F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("value")))
+    ends = [at(kind, int(end)).alias(f"{i}_{side}") for i, (kind, place) in enumerate(places.values()) for side, end in (("low", place // 1), ("high", -(-place // 1)))]
+    row = ranked.agg(*ends).first()
+    found = {name: row[f"{i}_low"] + (place - place // 1) * (row[f"{i}_high"] - row[f"{i}_low"]) for i, (name, (_, place)) in enumerate(places.items())}
+    return {name: found.get(name) for name in points}
+
+
+def mean_ranks(rows: DataFrame, value: str, name: str, ranked: DataFrame | None = None) -> DataFrame:
+    """rows and their rank by value, ties sharing the mean. ranked: ranked_values() of at least this column, by its name."""
+    found = ranked_values(rows, {value: F.col(value)}) if ranked is None else ranked
+    ranks = found.where(F.col("kind") == value).select(F.col("value").alias(value), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    return rows.join(ranks, value)
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
     """One row of statistics of agreement_pairs."""
-    ranked = mean_ranks(mean_ranks(pairs, "one", "r1"), "other", "r2")
+    pairs = cut(pairs)
     d, a = F.col("delta"), F.abs("delta")
+    values = cut(ranked_values(pairs, {"one": F.col("one"), "other": F.col("other"), "delta": d, "size": a}))
+    medians = exact_quantiles(values, {"delta": ("delta", 0.5), "size": ("size", 0.5)})
+    ranked = mean_ranks(mean_ranks(pairs, "one", "r1", values), "other", "r2", values)
+    median = lambda name: F.lit(medians[name]).cast("double").alias(f"median_{'abs' if name == 'size' else name}")
     return ranked.agg(
-        F.count("*").alias("n"), F.corr("one", "other").alias("pearson"), F.corr("r1", "r2").alias("spearman"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.avg(a).alias("mean_abs"),
-        F.median(a).alias("median_abs"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(a).alias("max_abs"), F.min(a).alias("min_abs"))
+        F.count("*").alias("n"), F.corr("one", "other").alias("pearson"), F.corr("r1", "r2").alias("spearman"), F.avg(d).alias("mean_delta"), median("delta"), F.avg(a).alias("mean_abs"),
+        median("size"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(a).alias("max_abs"), F.min(a).alias("min_abs"))
 
 
 def tolerance_recovery(pairs: DataFrame, tolerances: list[float]) -> DataFrame:
@@ -53,8 +88,10 @@ def tolerance_recovery(pairs: DataFrame, tolerances: list[float]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: str, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    row = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, list(points)).alias("q"))
-    return row.select("n", "mean", "min", "max", *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(points)])
+    """One row: n, mean, min, max and exact quantiles, without a sort or a buffer of all values in one task."""
+    names = [f"p{round(100 * p):02d}" for p in points]
+    found = exact_quantiles(cut(ranked_values(rows, {value: F.col(value)})), {name: (value, p) for name, p in zip(names, points)})
+    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.lit(found[name]).cast("double").alias(name) for name in names])
 
 
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
