@@ -290,25 +290,109 @@ def gap_chain(refs: np.ndarray, queries: np.ndarray, least: int, max_gap: int, t
     return pairs[chain[::-1]]
 
 
+#: Hits up to which a block of the optimal chain is worked out pair by pair.
+CHAIN_BLOCK = 256
+_FAR = np.iinfo(np.int64).max
+
+
+class _Levels:
+    """Hits in order of one coordinate, in aligned blocks of 1, 2, 4, ... of them, each in order of diagonal with running minima."""
+
+    def __init__(self, place: np.ndarray, diagonal: np.ndarray):
+        self.order = np.argsort(place, kind="stable")
+        self.place, self.diagonal, self.levels = place[self.order], diagonal[self.order], []
+        n, size = len(place), 1
+        while size <= n:
+            by = np.lexsort((self.diagonal, np.arange(n) // size))
+            self.levels.append((size, by, self.diagonal[by]))
+            size *= 2
+
+    def least(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """For each query the least key of the hits low to high (in order of place) on diagonals up to its own."""
+        keys, best = keys[self.order], np.full(len(low), _FAR)
+        low, high, span = low.copy(), np.maximum(high, low), int(np.ptp(np.append(self.diagonal, diagonal))) + 1
+        base = min(int(self.diagonal.min()), int(diagonal.min()))
+        for size, by, sorted_diagonals in self.levels:
+            if not (low < high).any():
+                break
+            padded = np.full(-(-len(by) // size) * size, _FAR)
+            padded[: len(by)] = keys[by]
+            running = np.minimum.accumulate(padded.reshape(-1, size), axis=1).ravel()
+            blocks = np.arange(len(by)) // size * span + (sorted_diagonals - base)
+            for at_low in (True, False):
+                uses = np.flatnonzero((low < high) & ((low if at_low else high) & size > 0))
+                if len(uses):
+                    block = (low[uses] if at_low else high[uses] - size) // size
+                    found = np.searchsorted(blocks, block * span + (diagonal[uses] - base), "right") - 1
+                    there = found >= block * size
+                    best[uses[there]] = np.minimum(best[uses[there]], running[found[there]])
+                    if at_low:
+                        low[uses] += size
+                    else:
+                        high[uses] -= size
+        return best
+
+
 def optimal_chain(refs: np.ndarray, queries: np.ndarray, k: int, query_len: int, least: int) -> np.ndarray:
     """Hits of the cheapest semi-global chain, where the reference's ends are free, ties going to more hits; empty if it has fewer than least.
 
-    A step costs the greater of both gaps and the difference of both overlaps; starting and ending cost the query's uncovered ends.
+    A step costs the greater of both gaps and the difference of both overlaps; starting and ending cost the query's uncovered ends. With d the difference
+    of diagonals a step costs d where the hits overlap on either side, and else the further side's advance less k: four cases, each a least
+    key over a window of places and all diagonals on one side. Halves of the hits, in order of reference, are joined by these, so n hits take about n log^3 n.
     """
     pairs = np.unique(np.column_stack([refs, queries]), axis=0)
     n = len(pairs)
-    cost, length, before = pairs[:, 1].astype(np.int64).copy(), np.ones(n, np.int64), np.full(n, -1)
-    for i in range(1, n):
-        dr, dq = pairs[i][0] - pairs[:i, 0], pairs[i][1] - pairs[:i, 1]
-        forward = (dr > 0) & (dq > 0)
-        gap = np.maximum(np.maximum(dr - k, 0), np.maximum(dq - k, 0)) + np.abs(np.maximum(k - dr, 0) - np.maximum(k - dq, 0))
-        total = np.where(forward, cost[:i] + gap, np.iinfo(np.int64).max)
-        j = int(np.lexsort((-length[:i], total))[0])
-        if forward[j] and (total[j], -(length[j] + 1)) < (cost[i], -1):
-            cost[i], length[i], before[i] = total[j], length[j] + 1, j
     if not n:
         return pairs
-    final = cost + np.maximum(query_len - pairs[:, 1] - k, 0)
+    r, q = pairs[:, 0] - pairs[0, 0], pairs[:, 1].astype(np.int64)
+    d = r - q
+    cost, length, before = q.copy(), np.ones(n, np.int64), np.full(n, -1)
+    shift = int(abs(r).max() + abs(q).max() + abs(d).max()) + 1
+    bits = max(1, (n - 1).bit_length())
+    if (4 * shift + query_len).bit_length() + 2 * bits + 1 > 62:
+        raise ValueError(f"{n} hits over {shift} places are too many for one bin")
+
+    def keyed(value: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Order by value, then by more hits, then by the hit's number."""
+        return ((value + 2 * shift) << (2 * bits)) | ((n - length[which]) << bits) | which
+
+    def better(these: np.ndarray, keys: np.ndarray, added: np.ndarray) -> None:
+        found = keys != _FAR
+        these, keys = these[found], keys[found]
+        j = keys & ((1 << bits) - 1)
+        total = (keys >> (2 * bits)) - 2 * shift + added[found]
+        wins = (total < cost[these]) | ((total == cost[these]) & ((length[j] + 1 > length[these]) | ((length[j] + 1 == length[these]) & (before[these] >= 0) & (j < before[these]))))
+        these, j = these[wins], j[wins]
+        cost[these], length[these], before[these] = total[wins], length[j] + 1, j
+
+    def pair_by_pair(a: int, b: int) -> None:
+        for i in range(a + 1, b):
+            dr, dq = r[i] - r[a:i], q[i] - q[a:i]
+            js = np.flatnonzero((dr > 0) & (dq > 0))
+            if len(js):
+                step = np.abs(dr - dq)[js] + np.maximum(np.minimum(dr, dq)[js] - k, 0)
+                better(np.array([i]), keyed(cost[a + js] + step, a + js).min(keepdims=True), np.zeros(1, np.int64))
+
+    def solve(a: int, b: int) -> None:
+        if b - a <= CHAIN_BLOCK:
+            pair_by_pair(a, b)
+            return
+        middle = (a + b) // 2
+        solve(a, middle)
+        left, right = np.arange(a, middle), np.arange(middle, b)
+        by_query, by_ref = _Levels(q[left], d[left]), _Levels(r[left], -d[left])
+        c, at = cost[left], lambda levels, places: np.searchsorted(levels.place, places)
+        zero = np.zeros(len(right), np.int64)
+        touching, apart = at(by_query, q[right] - k + 1), at(by_query, q[right])  # the reference advances further
+        better(right, by_query.least(keyed(c - r[left], left), zero, touching, d[right]), r[right] - k)
+        better(right, by_query.least(keyed(c - d[left], left), touching, apart, d[right]), d[right])
+        touching, apart = at(by_ref, r[right] - k + 1), at(by_ref, r[right])  # the query does
+        better(right, by_ref.least(keyed(c - q[left], left), zero, touching, -d[right]), q[right] - k)
+        better(right, by_ref.least(keyed(c + d[left], left), touching, apart, -d[right]), -d[right])
+        solve(middle, b)
+
+    solve(0, n)
+    final = cost + np.maximum(query_len - q - k, 0)
     at = int(np.lexsort((-length, final))[0])
     if length[at] < least:
         return np.zeros((0, 2), np.int64)

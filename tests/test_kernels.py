@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from strandloom.functions import kernels as kn
 
@@ -102,13 +103,16 @@ def test_best_window_finds_the_copy():
 
 
 def test_gap_chain():
-    refs, queries = np.array([100, 150, 200, 250, 5000]), np.array([0, 50, 100, 150, 80])
-    assert kn.gap_chain(refs, queries, 3, 516, 1200, 96).tolist() == [[100, 0], [150, 50], [200, 100], [250, 150]]
-    assert len(kn.gap_chain(refs, queries, 5, 516, 1200, 96)) == 0
+    """The steady diagonal wins; a hit that drifts too far and one that goes back on the query stay out."""
+    refs, queries = np.array([7_013, 7_040, 7_066, 7_093, 7_101, 7_130, 9_900]), np.array([31, 58, 84, 111, 5, 149, 160])
+    assert kn.gap_chain(refs, queries, 4, 800, 900, 50).tolist() == [[7_013, 31], [7_040, 58], [7_066, 84], [7_093, 111], [7_130, 149]]
+    assert len(kn.gap_chain(refs, queries, 6, 800, 900, 50)) == 0
     assert len(kn.gap_chain(np.zeros(0, int), np.zeros(0, int), 1, 10, 10, 10)) == 0
 
 
-def test_optimal_chain_against_all_chains():
+@pytest.mark.parametrize("block", [1, 2, 256])
+def test_optimal_chain_against_all_chains(monkeypatch, block):
+    monkeypatch.setattr(kn, "CHAIN_BLOCK", block)
     r = random.Random(8)
     for _ in range(30):
         hits = sorted({(r.randrange(60), r.randrange(40)) for _ in range(7)})
@@ -125,4 +129,24 @@ def test_optimal_chain_against_all_chains():
             chains += [chain + [h] for h in hits if h[0] > chain[-1][0] and h[1] > chain[-1][1]]
         best = min((cost(c), -len(c)) for c in chains)
         got = kn.optimal_chain(*np.array(hits).T, k, length, 1).tolist()
-        assert cost(got) == best[0]
+        assert (cost(got), -len(got)) == best
+
+
+@pytest.mark.parametrize("spread", [(40, 30), (400, 300), (4_000, 3_000)])
+def test_halves_of_a_chain_equal_pairs(monkeypatch, spread):
+    """Blocks of any size give the chain that comparing all pairs gives, ties included."""
+    r = random.Random(5)
+    hits = np.array(sorted({(1_000_000 + r.randrange(spread[0]), r.randrange(spread[1])) for _ in range(600)}))
+    monkeypatch.setattr(kn, "CHAIN_BLOCK", 10_000)
+    want = kn.optimal_chain(*hits.T, 14, spread[1], 1)
+    for block in (1, 7, 100):
+        monkeypatch.setattr(kn, "CHAIN_BLOCK", block)
+        assert kn.optimal_chain(*hits.T, 14, spread[1], 1).tolist() == want.tolist()
+
+
+def test_optimal_chain_of_a_repeat():
+    """A hundred thousand hits of one bin, as a long repeat gives them."""
+    r = np.random.default_rng(2)
+    refs, queries = r.integers(0, 4_000, 100_000), r.integers(0, 3_000, 100_000)
+    chain = kn.optimal_chain(refs, queries, 16, 3_000, 3)
+    assert (np.diff(chain, axis=0) > 0).all() and len(chain) > 100
