@@ -58,6 +58,12 @@ def chained(hits: DataFrame, config: Config) -> DataFrame:
     return intervals.merge(each.select(*KEYS, "frag_len", F.greatest(F.col("s") - config.diagonal_band, F.lit(0)).alias("start"), (F.col("s") + config.diagonal_band).alias("end")), [*KEYS, "frag_len"])
 
 
+def _slices(lists: pa.ListArray) -> list[list[int]]:
+    """Each row's values, cut out of one list."""
+    values, at = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, config: Config) -> DataFrame:
     """KEYS, frag_len, sketch_size, shared, start, end, identity, identity_upper: the best window of each candidate that may reach the identity.
 
@@ -68,32 +74,29 @@ def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, co
     if minmer:
         others = minimizers.select("genome", "contig", "hash", F.col("start").alias("other_start"), (F.col("end") - 1).alias("other_end"))
         near = intervals.overlapping(ranges.select("*", F.col("first").alias("start"), F.col("last").alias("end")), others, ["genome", "contig"], 4096)
-        element = F.struct("other_start", (F.col("other_end") + 1).alias("stop"), "hash")
+        element, parts = F.struct("other_start", (F.col("other_end") + 1).alias("stop"), "hash"), ("hash", "other_start", "stop")
     else:
         near = intervals.points_within(ranges.select("*", F.col("first").alias("start"), (F.col("last") + F.col("frag_len") - 1).alias("end")), minimizers, ["genome", "contig"], 4096)
-        element = F.struct("pos", "hash")
+        element, parts = F.struct("pos", "hash"), ("hash", "pos")
     grouped = near.groupBy(*KEYS, "frag_len", "first", "last").agg(F.array_sort(F.collect_list(element)).alias("held"))
     whole = sketches.groupBy(F.col("genome").alias("query"), "frag").agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
     joined = grouped.join(whole, ["query", "frag"])
 
-    def best(row: dict) -> tuple[int, int] | None:
-        if minmer:
-            return kernels.best_interval_window(row["sketch"], [(h["hash"], h["other_start"], h["stop"]) for h in row["held"]], row["first"], row["last"])
-        span = row["frag_len"] - (w - 1) - (k - 1)
-        return kernels.best_window(row["sketch"], [h["hash"] for h in row["held"]], [h["pos"] for h in row["held"]], span, row["first"], row["last"], row["frag_len"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best(row) for row in batch.select(["frag_len", "first", "last", "held", "sketch"]).to_pylist()]
-            there = pa.array([f is not None for f in found])
-            sizes = pa.array([len(s) for s in batch.column(batch.schema.names.index("sketch")).to_pylist()], pa.int64())
-            out = batch.select([*KEYS, "frag_len"]).append_column("sketch_size", sizes)
+            lengths, firsts, lasts = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("frag_len", "first", "last"))
+            sketch, *held = (_slices(batch.column(batch.schema.names.index(c))) for c in ("sketch", *parts))
+            if minmer:
+                found = [kernels.best_interval_window(s, list(zip(h, a, b)), low, high) for s, h, a, b, low, high in zip(sketch, *held, firsts, lasts)]
+            else:
+                found = [kernels.best_window(s, h, p, n - (w - 1) - (k - 1), low, high, n) for s, h, p, n, low, high in zip(sketch, *held, lengths, firsts, lasts)]
+            out = batch.select([*KEYS, "frag_len"]).append_column("sketch_size", pa.array([len(s) for s in sketch], pa.int64()))
             for name, at in (("shared", 0), ("start", 1)):
                 out = out.append_column(name, pa.array([f[at] if f else None for f in found], pa.int64()))
-            yield out.filter(there)
+            yield out.filter(pa.array([f is not None for f in found]))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*KEYS, "frag_len").schema)
-    windows = joined.select(*KEYS, "frag_len", "first", "last", "held", "sketch").mapInArrow(run, schema + ", sketch_size long, shared long, start long")
+    windows = joined.select(*KEYS, "frag_len", "first", "last", "sketch", *[F.col(f"held.{c}").alias(c) for c in parts]).mapInArrow(run, schema + ", sketch_size long, shared long, start long")
     sizes = [int(r[0]) for r in sketches.select("sketch_size").distinct().collect()]
     table = st.distance_table(sketches.sparkSession, sizes, k, config.model)
     known = windows.join(table, (windows["sketch_size"] == table["sketch_size"]) & (windows["shared"] == table["shared"])).drop(table["sketch_size"]).drop(table["shared"])

@@ -89,6 +89,50 @@ def test_sliding_sketch_counts_repeats():
     assert counts == [0, 1, 1, 1, 0]
 
 
+def plain_shared(query, held):
+    low = sorted(set(query) | set(held))[: len(query)]
+    return len(set(low) & set(query) & set(held))
+
+
+def plain_best_window(query, hashes, places, span, first, last, length):
+    """The windows one after the other, each with its own set."""
+    later = [i for i, p in enumerate(places) if p >= first]
+    if not later or span <= 0 or not query:
+        return None
+    stop, at, found = sum(p < last + length for p in places), places[later[0]], []
+    while at <= last:
+        begin, end = max(i for i, p in enumerate(places) if p <= at and i < stop or i == later[0]), sum(p < at + span for p in places)
+        if end >= stop:
+            break
+        found.append((plain_shared(query, hashes[begin:end]), places[begin]))
+        at = min([p for p in places[begin + 1 : stop]] + [p - span + 1 for p in places[end:]])
+    most = max((s for s, _ in found), default=0)
+    same = [p for s, p in found if s == most]
+    return (most, (same[0] + same[-1]) // 2) if most else None
+
+
+def test_best_window_against_plain_windows():
+    r = random.Random(12)
+    for _ in range(400):
+        places = sorted(r.sample(range(120), r.randrange(1, 40)))
+        hashes, query = [r.randrange(30) for _ in places], sorted(r.sample(range(30), r.randrange(1, 9)))
+        first = r.randrange(110)
+        case = (query, hashes, places, r.randrange(1, 40), first, first + r.randrange(40), r.randrange(1, 60))
+        assert kn.best_window(*case) == plain_best_window(*case), case
+
+
+def test_best_interval_window_against_plain_windows():
+    r = random.Random(13)
+    for _ in range(200):
+        query, first = sorted(r.sample(range(30), r.randrange(1, 9))), r.randrange(50)
+        rows = [(r.randrange(30), a, a + r.randrange(1, 30)) for a in r.choices(range(80), k=r.randrange(0, 40))]
+        last = first + r.randrange(40)
+        each = [plain_shared(query, [h for h, a, b in rows if a <= at < b]) for at in range(first, last + 1)]
+        same = [at for at, s in zip(range(first, last + 1), each) if s == max(each)]
+        got = kn.best_interval_window(query, rows, first, last)
+        assert got == (max(each), (same[0] + same[-1]) // 2)
+
+
 def test_best_window_does_not_score_past_the_last_end():
     assert kn.best_window([10, 20, 30], [10, 20, 30], [0, 5, 11], 10, 0, 1, 10) is None
 
