@@ -150,6 +150,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes up to which a table whose rows were counted is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, which is cut from its lineage, as a side of a join: broadcast if its rows, counted, are small, and else shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def partition_agreement(rows: DataFrame, truth: str, found: str) -> DataFrame:
     """One row: pairs of rows that are together by both, by found only and by truth only, with precision, recall and F1.
 

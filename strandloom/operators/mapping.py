@@ -13,6 +13,7 @@ from strandloom.config import Config
 from strandloom.functions import kernels
 from strandloom.functions import statistics as st
 from strandloom.operators import intervals, seeds
+from strandloom.operators.analytics import cut, side
 
 KEYS = ["query", "frag", "genome", "contig"]
 
@@ -28,11 +29,12 @@ def minimum_hits_table(sketches: DataFrame, config: Config) -> DataFrame:
 def chained(hits: DataFrame, config: Config) -> DataFrame:
     """KEYS, frag_len, start, end: candidate ranges of starts, from chains within diagonal bins, in either orientation.
 
-    hits: KEYS, frag_len, sketch_size, least, pos, qpos. A bin's hits come as one row, so tasks work on rows and not on groups.
+    hits: KEYS, frag_len, sketch_size, least, pos, qpos. A bin's hits come as one row, so tasks work on rows and not on groups; they are
+    bounded by places, since a bin's places on a reference span its width and a fragment.
     """
     k = config.kmer
     dealt = seeds.diagonals(hits, KEYS, config.diagonal_bin).groupBy(*KEYS, "frag_len", "bin", "least")
-    grouped = dealt.agg(F.collect_list("pos").alias("refs"), F.collect_list("qpos").alias("queries"), F.countDistinct("qpos").alias("n")).where("n >= least")
+    grouped = dealt.agg(F.collect_list("pos").alias("refs"), F.collect_list("qpos").alias("queries")).where(F.size(F.array_distinct("queries")) >= F.col("least"))
 
     def starts(refs: np.ndarray, queries: np.ndarray, length: int, least: int) -> set[int]:
         out: set[int] = set()
@@ -70,7 +72,7 @@ def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, co
     In minmer mode minimizers are intervals (start, end), else places (pos).
     """
     k, w, minmer = config.kmer, config.resolved_window(), config.mode == "minmer"
-    ranges = candidates.withColumn("first", F.col("start")).withColumn("last", F.col("end")).drop("start", "end")
+    ranges = side(cut(candidates.withColumn("first", F.col("start")).withColumn("last", F.col("end")).drop("start", "end")), 150)
     if minmer:
         others = minimizers.select("genome", "contig", "hash", F.col("start").alias("other_start"), (F.col("end") - 1).alias("other_end"))
         near = intervals.overlapping(ranges.select("*", F.col("first").alias("start"), F.col("last").alias("end")), others, ["genome", "contig"], 4096)
@@ -79,7 +81,7 @@ def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, co
         near = intervals.points_within(ranges.select("*", F.col("first").alias("start"), (F.col("last") + F.col("frag_len") - 1).alias("end")), minimizers, ["genome", "contig"], 4096)
         element, parts = F.struct("pos", "hash"), ("hash", "pos")
     grouped = near.groupBy(*KEYS, "frag_len", "first", "last").agg(F.array_sort(F.collect_list(element)).alias("held"))
-    whole = sketches.groupBy(F.col("genome").alias("query"), "frag").agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
+    whole = side(sketches, 100).groupBy(F.col("genome").alias("query"), "frag").agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
     joined = grouped.join(whole, ["query", "frag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

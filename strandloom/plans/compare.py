@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.config import Config
 from strandloom.operators import mapping, reduce, seeds, sketch
 from strandloom.operators import intervals
-from strandloom.operators.analytics import cut
+from strandloom.operators.analytics import cut, side
 
 
 def query_sketches(queries: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +33,7 @@ def map_fragments(queries: DataFrame, references: DataFrame, config: Config) ->
     config = config.checked()
     index = cut(reference_index(references, config))  # both sides are read several times, and sketched once
     sketches = cut(query_sketches(queries, config)[1])
-    found = sketches.join(F.broadcast(mapping.minimum_hits_table(sketches, config)), "sketch_size")
+    found = side(sketches, 100).join(F.broadcast(mapping.minimum_hits_table(sketches, config)), "sketch_size")
     own = found.select(F.col("genome").alias("query"), "frag", "hash", "qpos", "sketch_size", "least", F.lit(config.fragment).cast("long").alias("frag_len"))
     shared = seeds.hits(own, seeds.without_hot(index, config.ignore_top_percent))
     keys = mapping.KEYS
