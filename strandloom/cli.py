@@ -11,6 +11,7 @@ from strandloom.config import Config
 from strandloom.operators import analytics, order, studies
 from strandloom.operators.reduce import best_both_ways
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches
+from strandloom.plans.report import StageReport
 from strandloom.session import ship
 from strandloom.sources import fastx, sinks
 
@@ -33,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         run.add_argument(flag, dest=field, type=kind, default=getattr(plain, field))
     run.add_argument("--optimalChain", dest="optimal_chain", action="store_true")
     run.add_argument("--matrix", action="store_true")
+    run.add_argument("--timing", metavar="FOLDER", help="rows and seconds of the stages, and counters of each query")
     run.add_argument("--visualize", action="store_true")
     run.add_argument("--split", type=int)
     contigs = commands.add_parser("order", help="order and turn contigs along a reference")
@@ -68,12 +70,16 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
     queries, references = (fastx.read_sequences(spark, p) for p in paths)
     queries, references = queries.drop("seq_raw"), references.drop("seq_raw")
     config = Config(**{f: getattr(a, f) for f in Config.__dataclass_fields__}).checked()
-    found = compare_split(queries, references, config, a.split) if a.split else compare(queries, references, config)
+    report = StageReport() if a.timing else None
+    found = analytics.cut(compare_split(queries, references, config, a.split, report) if a.split else compare(queries, references, config, report))
     sinks.write_lines(sinks.ani_lines(found), a.output)
+    if report:
+        print(report.summary())
+        report.rows(spark).write.mode("overwrite").csv(a.timing, sep="\t", header=True)
     if a.matrix:
-        names = {r[0] for side in (queries, references) for r in side.select("genome").distinct().collect()}
-        lines = sinks.phylip_lines(found, fastx.as_listed(names, paths[0] + paths[1]))
-        sinks.write_lines(spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1), a.output + ".matrix")
+        names = {r[0] for side in (queries, references) for r in side.select("genome").distinct().collect()}  # no more than the paths that were given
+        listed = spark.createDataFrame(list(enumerate(fastx.as_listed(names, paths[0] + paths[1]))), "row long, genome string")
+        sinks.write_ordered(sinks.phylip_lines(found, listed), "row", a.output + ".matrix")
     if a.visualize:
         tiles, _ = query_sketches(queries, config)
         points = sinks.visualization_lines(best_both_ways(map_fragments(queries, references, config), config.fragment), sinks.offsets(references), tiles)

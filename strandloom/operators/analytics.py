@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import pair_key
@@ -27,6 +27,30 @@ def only_counts(one: DataFrame, other: DataFrame) -> DataFrame:
     return marks.agg(*[F.count_if(c).alias(n) for n, c in (("shared", F.col("p").isNotNull() & F.col("q").isNotNull()), ("one_only", F.col("q").isNull()), ("other_only", F.col("p").isNull()))])
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows with, by name, the sum of a value over the rows of the same keys that come before in order (keys and order tell rows apart).
+
+    Rows are ranged over all tasks by keys and order; a range starts from the sums of the ranges before it. A key with very many rows lies in several
+    ranges, and only a sum for each key that a range ends with is handed on.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = {f"__{n}": c for n, c in values.items()}
+    ranged = cut(rows.select("*", *[c.cast("long").alias(n) for n, c in names.items()]).repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(n).alias(f"{n}_sum") for n in names])
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    several = F.count("*").over(Window.partitionBy(*keys)) > 1  # keys that lie in one range start from 0
+    starts = sums.select(*keys, "__range", several.alias("__several"), *[F.coalesce(F.sum(f"{n}_sum").over(earlier), F.lit(0)).alias(f"{n}_start") for n in names]).where("__several").drop("__several")
+    before = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_in") for n in names])
+    joined = within.join(F.broadcast(starts), [*keys, "__range"], "left")  # two keys a range at most
+    return joined.select(*rows.columns, *[(F.col(f"{n}_in") + F.coalesce(f"{n}_start", F.lit(0))).alias(n.removeprefix("__")) for n in names])
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their number from 0 in the order of a column without repeats."""
+    return running_sums(rows.withColumn("__all", F.lit(0)), ["__all"], [order], {name: F.lit(1)}).drop("__all")
+
+
 def ranked_values(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """kind, value, n, below: each different value of each named column, how many rows have it and how many have less; nulls are left out.
 
@@ -137,16 +161,22 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> Da
     return members.unionByName(reps.select("name", F.col("name").alias("representative")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed into the folder that spark.checkpoint.dir names."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share: the one that spark.checkpoint.dir names, and in local mode, where it is unset, one of our own."""
     import tempfile
 
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,7 +13,7 @@ from strandloom.config import Config
 from strandloom.functions import kernels
 from strandloom.functions import statistics as st
 from strandloom.operators import intervals, seeds
-from strandloom.operators.analytics import cut, side
+from strandloom.operators.analytics import side
 
 KEYS = ["query", "frag", "genome", "contig"]
 
@@ -67,12 +67,12 @@ def _slices(lists: pa.ListArray) -> list[list[int]]:
 
 
 def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, config: Config) -> DataFrame:
-    """KEYS, frag_len, sketch_size, shared, start, end, identity, identity_upper: the best window of each candidate that may reach the identity.
+    """KEYS, frag_len, sketch_size, shared, start, end, identity, identity_upper: the best window of each candidate (cut from its lineage) that may reach the identity.
 
     In minmer mode minimizers are intervals (start, end), else places (pos).
     """
     k, w, minmer = config.kmer, config.resolved_window(), config.mode == "minmer"
-    ranges = side(cut(candidates.withColumn("first", F.col("start")).withColumn("last", F.col("end")).drop("start", "end")), 150)
+    ranges = side(candidates, 150).withColumn("first", F.col("start")).withColumn("last", F.col("end")).drop("start", "end")
     if minmer:
         others = minimizers.select("genome", "contig", "hash", F.col("start").alias("other_start"), (F.col("end") - 1).alias("other_end"))
         near = intervals.overlapping(ranges.select("*", F.col("first").alias("start"), F.col("last").alias("end")), others, ["genome", "contig"], 4096)

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import kernels
+from strandloom.operators.analytics import running_sums
 
 
 def fragments(seqs: DataFrame, length: int) -> DataFrame:
     """genome, contig, frag (from 0 over the genome), global_start, seq: tiles of each contig, tails left out, short contigs counted in global_start."""
     sized = seqs.select("genome", "contig", F.length("seq").cast("long").alias("n"), F.floor(F.length("seq") / length).cast("long").alias("tiles"))
-    before = Window.partitionBy("genome").orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sized.select("genome", "contig", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("tiles").over(before), F.lit(0)).alias("first")).where("tiles > 0")
+    bases = running_sums(sized, ["genome"], ["contig"], {"base": F.col("n"), "first": F.col("tiles")}).where("tiles > 0").select("genome", "contig", "base", "first")
     cut = seqs.where(F.length("seq") >= length).join(bases, ["genome", "contig"])
     tiles = cut.select("genome", "contig", "base", "first", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / length).cast("int") - 1)).alias("tile"))
     return tiles.select("genome", "contig", (F.col("first") + F.col("tile")).alias("frag"), (F.col("base") + F.col("tile") * length).alias("global_start"), F.substr("seq", F.col("tile") * length + 1, F.lit(length)).alias("seq"))

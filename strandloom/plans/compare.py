@@ -11,6 +11,7 @@ from strandloom.config import Config
 from strandloom.operators import mapping, reduce, seeds, sketch
 from strandloom.operators import intervals
 from strandloom.operators.analytics import cut, side
+from strandloom.plans.report import StageReport, Unreported
 
 
 def query_sketches(queries: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -28,14 +29,17 @@ def reference_index(references: DataFrame, config: Config) -> DataFrame:
     return sketch.minimizers(references, ["genome", "contig"], config.kmer, config.resolved_window(), config.hash, config.mode, config.seed)
 
 
-def map_fragments(queries: DataFrame, references: DataFrame, config: Config) -> DataFrame:
-    """Scored mappings of the queries' fragments on the references."""
-    config = config.checked()
-    index = cut(reference_index(references, config))  # both sides are read several times, and sketched once
-    sketches = cut(query_sketches(queries, config)[1])
+def map_fragments(queries: DataFrame, references: DataFrame, config: Config, report: StageReport | None = None) -> DataFrame:
+    """Scored mappings of the queries' fragments on the references. report: gets rows and seconds of the stages that run, and the tables that it counts by query."""
+    config, report = config.checked(), report or Unreported()
+    with report.timed("reference"):  # both sides are read several times, and sketched once
+        index = cut(report.watch("reference", reference_index(references, config)))
+    with report.timed("query"):
+        sketches = cut(report.watch("query", query_sketches(queries, config)[1], most={"largest_sketch": F.col("sketch_size")}))
+        report.keep("minimizers", sketches.withColumnRenamed("genome", "query"))
     found = side(sketches, 100).join(F.broadcast(mapping.minimum_hits_table(sketches, config)), "sketch_size")
     own = found.select(F.col("genome").alias("query"), "frag", "hash", "qpos", "sketch_size", "least", F.lit(config.fragment).cast("long").alias("frag_len"))
-    shared = seeds.hits(own, seeds.without_hot(index, config.ignore_top_percent))
+    shared = report.watch("hits", seeds.hits(own, seeds.without_hot(index, config.ignore_top_percent)))
     keys = mapping.KEYS
     if config.mode == "minmer":
         candidates = intervals.deep(shared.select(*keys, "frag_len", "least", "start", (F.col("end") - 1).alias("end")), [*keys, "frag_len"], "least")
@@ -43,19 +47,25 @@ def map_fragments(queries: DataFrame, references: DataFrame, config: Config) ->
         candidates = seeds.consecutive_regions(shared.select(*keys, "least", "frag_len", "pos"), keys, "least", "frag_len").withColumn("frag_len", F.lit(config.fragment).cast("long"))
     else:
         candidates = mapping.chained(shared, config)
-    return mapping.scored(candidates, sketches, index, config)
+    with report.timed("candidates"):
+        held = report.keep("candidates", cut(report.watch("candidates", candidates, most={"longest": F.col("end") - F.col("start") + 1})))
+    return report.watch("mappings", mapping.scored(held, sketches, index, config), most={"most_shared": F.col("shared")})
 
 
-def compare(queries: DataFrame, references: DataFrame, config: Config) -> DataFrame:
-    """query, reference, ani, mapped, fragments: pairs with enough mapped fragments, by falling identity."""
+def compare(queries: DataFrame, references: DataFrame, config: Config, report: StageReport | None = None) -> DataFrame:
+    """query, reference, ani, mapped, fragments: pairs with enough mapped fragments, by falling identity. With a report the mappings are kept, to be counted by query."""
     lengths = queries.unionByName(references).groupBy("genome", "contig").agg(F.max(F.length("seq")).alias("n")).groupBy("genome").agg(F.sum("n").alias("length"))
-    pairs = reduce.enough_mapped(reduce.genome_identities(map_fragments(queries, references, config), config.fragment), lengths, config.fragment, config.min_fraction)
+    mappings = map_fragments(queries, references, config, report)
+    if report:
+        with report.timed("mappings"):
+            mappings = report.keep("mappings", cut(mappings))
+    pairs = reduce.enough_mapped(reduce.genome_identities(mappings, config.fragment), lengths, config.fragment, config.min_fraction)
     fragments = queries.groupBy("genome").agg(F.sum(F.floor(F.length("seq") / config.fragment)).alias("fragments"))
     named = pairs.join(fragments.withColumnRenamed("genome", "query"), "query")
     return reduce.ordered(named).select("query", F.col("genome").alias("reference"), "ani", "mapped", F.col("fragments").cast("long").alias("fragments"))
 
 
-def compare_split(queries: DataFrame, references: DataFrame, config: Config, parts: int) -> DataFrame:
+def compare_split(queries: DataFrame, references: DataFrame, config: Config, parts: int, report: StageReport | None = None) -> DataFrame:
     """The same from parts of the references one by one, for a store of references that should not be shuffled at once."""
     genomes = sorted(r[0] for r in references.select("genome").distinct().collect())
     if parts < 2 or parts >= len(genomes):
@@ -63,5 +73,5 @@ def compare_split(queries: DataFrame, references: DataFrame, config: Config, par
     if config.ignore_top_percent > 0:
         raise ValueError("a frequency filter needs all references at once")
     size = -(-len(genomes) // parts)
-    found = [compare(queries, references.where(F.col("genome").isin(genomes[at : at + size])), config) for at in range(0, len(genomes), size)]
+    found = [compare(queries, references.where(F.col("genome").isin(genomes[at : at + size])), config, report) for at in range(0, len(genomes), size)]
     return fold(DataFrame.unionByName, found).orderBy(F.desc("ani"), "query", "reference")

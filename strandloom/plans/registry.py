@@ -6,6 +6,8 @@ Hashes are the 60 bits of MD5 that both engines have; places count from 0.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from strandloom.functions import sequences as sq
 from strandloom.functions import statistics as st
 from strandloom.operators import analytics, intervals, mapping, order, reduce, seeds, sketch, studies
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches, reference_index
-from strandloom.sources import sinks
+from strandloom.plans.report import counters
+from strandloom.sources import fastx, sinks
 from strandloom.sources.tables import load, passages, references
 
 FLAGSHIP = "diagonal_clusters"
@@ -559,14 +562,37 @@ def contig_order(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {_ANI}, g AS (SELECT genome, row_number() OVER (ORDER BY genome) AS i FROM (SELECT DISTINCT genome FROM refs)),
 m AS (SELECT least(x.i, y.i) AS lo, greatest(x.i, y.i) AS hi, avg(ani) AS ani FROM a JOIN g x ON x.genome = query JOIN g y ON y.genome = reference WHERE query <> reference GROUP BY ALL)
-SELECT p.genome AS row_name, q.genome AS col_name, CASE WHEN m.ani > 0 THEN printf('%.4f', m.ani) ELSE 'NA' END AS cell FROM g p JOIN g q ON q.i < p.i LEFT JOIN m ON m.lo = q.i AND m.hi = p.i""")
+SELECT p.genome AS row_name, q.genome AS col_name, CASE WHEN m.ani > 0 THEN printf('%.6f', m.ani) ELSE 'NA' END AS cell FROM g p JOIN g q ON q.i < p.i LEFT JOIN m ON m.lo = q.i AND m.hi = p.i""")
 def phylip_cells(spark, sf_dir):
-    """The cells of the lower triangle of genomes: a few dozen names against each other."""
-    names = references(spark, sf_dir).select("genome").distinct()
-    means = analytics.reciprocal_means(_two_tables(spark, sf_dir)[0])
-    pairs = names.select(F.col("genome").alias("row_name")).join(names.select(F.col("genome").alias("col_name")), F.col("col_name") < F.col("row_name"))
-    cell = F.when(F.col("ani") > 0, F.format_string("%.4f", "ani")).otherwise("NA")
-    return pairs.join(means, (F.col("a") == F.col("col_name")) & (F.col("b") == F.col("row_name")), "left").select("row_name", "col_name", cell.alias("cell"))
+    """The cells of the matrix file's lines, each with the names of its row and column."""
+    names = analytics.cut(analytics.numbered(references(spark, sf_dir).select("genome").distinct(), "genome", "row"))
+    lines = sinks.phylip_lines(_two_tables(spark, sf_dir)[0], names).where("row >= 0")
+    cells = lines.select(F.split("value", "\t").alias("cells")).select(F.col("cells")[0].alias("row_name"), F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).alias("row", "cell"))
+    return cells.join(names.select("row", F.col("genome").alias("col_name")), "row").select("row_name", "col_name", "cell")
+
+
+@query(f"""WITH {_CANDIDATES}, counted AS (SELECT item, count(*) AS minimizers, 0 AS hits, 0 AS bins, 0 AS candidates FROM sketch GROUP BY item UNION ALL SELECT item, 0, count(*), 0, 0 FROM hits GROUP BY item
+  UNION ALL SELECT item, 0, 0, count(*), 0 FROM clusters GROUP BY item UNION ALL SELECT item, 0, 0, 0, count(*) FROM candidates GROUP BY item)
+SELECT item, sum(minimizers)::BIGINT AS minimizers, sum(hits)::BIGINT AS hits, sum(bins)::BIGINT AS bins, sum(candidates)::BIGINT AS candidates FROM counted GROUP BY item""")
+def stage_counters(spark, sf_dir):
+    """How many rows each stage has for each query, queries without hits included."""
+    stages = {"minimizers": _sketches(spark, sf_dir), "hits": _hits(spark, sf_dir), "bins": _clusters(spark, sf_dir), "candidates": _candidates(spark, sf_dir)}
+    return counters(stages, "item")
+
+
+@query(f"WITH {_ANI} SELECT query, reference, rank() OVER (ORDER BY ani) + (count(*) OVER (PARTITION BY ani) - 1) / 2.0::DOUBLE AS place FROM a WHERE ani IS NOT NULL")
+def identity_ranks(spark, sf_dir):
+    return analytics.mean_ranks(_two_tables(spark, sf_dir)[0], "ani", "place").select("query", "reference", "place")
+
+
+@query(f"WITH {_REFS} SELECT contig::VARCHAR AS name, length(seq)::BIGINT AS bases, md5(seq) AS digest FROM refs")
+def sequence_files(spark, sf_dir):
+    """Documents written as FASTA files with lines of 80 and read back in splits."""
+    path = f"{analytics.shared_folder(spark)}/fasta-{uuid.uuid4()}"
+    rows = references(spark, sf_dir).select(F.col("contig").alias("order"), F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.regexp_replace("seq", "(.{80})(?=.)", "$1\n")).alias("value"))
+    sinks.write_ordered(rows, "order", path)
+    found = fastx.read_sequences(spark, [path])
+    return found.select("name", F.length("seq").cast("long").alias("bases"), F.md5("seq").alias("digest"))
 
 
 @query("""SELECT p.n_name AS method, count(*) AS samples, round(sum(s_acctbal * CASE WHEN s_suppkey % 2 = 0 THEN 60 ELSE 1 END), 4) AS minutes FROM supplier JOIN nation p ON s_nationkey = n_nationkey GROUP BY ALL""")

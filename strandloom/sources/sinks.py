@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.analytics import running_sums
+
 
 def ani_lines(ani: DataFrame) -> DataFrame:
     """value: five tab-parted columns, by falling identity, then query and reference."""
@@ -16,14 +18,27 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def phylip_lines(ani: DataFrame, genomes: list[str]) -> list[str]:
-    """The lower triangle of mean identities of both directions, NA where there is none; genomes give the order."""
-    index = {g: i for i, g in enumerate(dict.fromkeys(genomes))}
-    pairs = ani.where(F.col("query").isin(list(index)) & F.col("reference").isin(list(index)) & (F.col("query") != F.col("reference")))
-    means = pairs.groupBy(F.least("query", "reference").alias("a"), F.greatest("query", "reference").alias("b")).agg(F.avg("ani").alias("ani")).collect()
-    cells = {(max(index[r["a"]], index[r["b"]]), min(index[r["a"]], index[r["b"]])): r["ani"] for r in means}
-    shown = lambda x: f"{x:.6f}" if x is not None and x > 0 else "NA"
-    return [str(len(index)), *("\t".join([g, *(shown(cells.get((i, j))) for j in range(i))]) for g, i in index.items())]
+def phylip_lines(ani: DataFrame, genomes: DataFrame, digits: int = 6) -> DataFrame:
+    """row, value: the lower triangle of mean identities of both directions, a line for each genome and one (row -1) with their number before them.
+
+    genomes: genome, row (from 0). A pair without an identity above 0 is NA. Identities come to their row by joins, and a row is written from its few
+    known cells and the gaps between them, so a task holds rows and never the matrix. Names that genomes lacks are left out.
+    """
+    names = genomes.select("genome", F.col("row").cast("long").alias("row"))
+    one, other = names.toDF("query", "r1"), names.toDF("reference", "r2")
+    cells = ani.join(one, "query").join(other, "reference").where("r1 <> r2").groupBy(F.greatest("r1", "r2").alias("row"), F.least("r1", "r2").alias("col")).agg(F.avg("ani").alias("ani"))
+    known = cells.where("ani > 0").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", F.format_string(f"\t%.{digits}f", "ani").alias("text")))).alias("cells"))
+    missing = lambda n: F.repeat(F.lit("\tNA"), n.cast("int"))
+    at = lambda i: F.when(i > 0, F.get("cells", i - 1)["col"] + 1).otherwise(F.lit(0))  # noqa: E731  the column after the cell before
+    held = F.array_join(F.transform("cells", lambda c, i: F.concat(missing(c["col"] - at(i)), c["text"])), "")
+    line = F.concat("genome", F.coalesce(held, F.lit("")), missing(F.col("row") - F.coalesce(F.element_at("cells", -1)["col"] + 1, F.lit(0))))
+    rows = names.join(known, "row", "left").select("row", line.alias("value"))
+    return rows.unionByName(names.agg(F.lit(-1).cast("long").alias("row"), F.count("*").cast("string").alias("value")))
+
+
+def write_ordered(lines: DataFrame, order: str, path: str) -> None:
+    """Lines (order, value) as text files whose names follow the order; no task holds more than its range."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
 
 
 def visualization_lines(mappings: DataFrame, offsets: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -62,7 +77,6 @@ def long_metrics(rows: DataFrame, section: str, name_col: str) -> DataFrame:
 
 
 def offsets(seqs: DataFrame) -> DataFrame:
-    """genome, contig, length and offset: the bases of the genome's contigs before it."""
-    before = Window.partitionBy("genome").orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)
+    """genome, contig, length and offset: the bases of the genome's contigs before it. Contigs are summed over ranges, so a genome may have any number of them."""
     sized = seqs.select("genome", "contig", F.length("seq").cast("long").alias("length"))
-    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return running_sums(sized, ["genome"], ["contig"], {"offset": F.col("length")})
