@@ -88,10 +88,10 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _order(spark: SparkSession, a: argparse.Namespace) -> None:
     references, contigs = fastx.read_sequences(spark, a.reference), fastx.read_sequences(spark, a.query)
-    placed = order.placements(contigs, order.alignments(contigs, references, Config())).cache()
+    placed = analytics.cut(order.placements(contigs, order.alignments(contigs, references, Config())))
     placed.drop("seq", "contig").orderBy("order").write.mode("overwrite").csv(a.prefix + ".tsv", sep="\t", header=True)
     sinks.write_lines(sinks.fasta_lines(placed), a.prefix + ".fasta")
-    sinks.write_lines(sinks.pseudochromosome(placed).select(F.concat(F.lit(">pseudochromosome\n"), "seq").alias("value")), a.prefix + ".pseudo.fasta")
+    sinks.write_ordered(sinks.pseudochromosome(placed), "line", a.prefix + ".pseudo.fasta")
     sinks.write_lines(sinks.paf_lines(placed, references), a.prefix + ".paf")
 
 

@@ -14,7 +14,7 @@ _COMPLEMENT = bytes.maketrans(b"ACGT", b"TGCA")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Hashes of k-mers that a Python worker keeps at most.
 MEMO = 2_000_000
-_memos: dict[tuple[str, int], dict[bytes, int]] = {}
+_memos: dict[str, dict[bytes, int]] = {}
 
 
 def _splitmix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -26,34 +26,44 @@ def _splitmix(x: np.ndarray, seed: int) -> np.ndarray:
         return (z ^ (z >> np.uint64(31))) >> np.uint64(2)
 
 
-def murmur3_low32(data: bytes, seed: int = 42) -> int:
-    """The low 32 bits of MurmurHash3 x64-128, by its public definition."""
-    mask = 0xFFFFFFFFFFFFFFFF
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-
-    def rotated(x: int, r: int) -> int:
-        return (x << r | x >> (64 - r)) & mask
-
-    def last(x: int) -> int:
-        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & mask
-        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & mask
-        return x ^ x >> 33
-
-    h1 = h2 = seed
-    whole = len(data) // 16 * 16
-    for at in range(0, whole, 16):
-        k1, k2 = int.from_bytes(data[at : at + 8], "little"), int.from_bytes(data[at + 8 : at + 16], "little")
-        h1 ^= rotated(k1 * c1 & mask, 31) * c2 & mask
-        h1 = ((rotated(h1, 27) + h2) * 5 + 0x52DCE729) & mask
-        h2 ^= rotated(k2 * c2 & mask, 33) * c1 & mask
-        h2 = ((rotated(h2, 31) + h1) * 5 + 0x38495AB5) & mask
-    tail = data[whole:]
-    h2 ^= rotated(int.from_bytes(tail[8:], "little") * c2 & mask, 33) * c1 & mask
-    h1 ^= rotated(int.from_bytes(tail[:8], "little") * c1 & mask, 31) * c2 & mask
-    h1, h2 = h1 ^ len(data), h2 ^ len(data)
-    h1 = (h1 + h2) & mask
-    h2 = (h2 + h1) & mask
-    return (last(h1) + last(h2)) & 0xFFFFFFFF
+def murmur3_low32(rows: np.ndarray, seed: int = 42) -> np.ndarray:
+    """The low 32 bits of MurmurHash3 x64-128, by its public definition, of each row of bytes."""
+    n, size = rows.shape
+    padded = np.zeros((n, -(-max(size, 1) // 16) * 16), np.uint8)
+    padded[:, :size] = rows
+    words = padded.view("<u8")
+    c1, c2, five = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F), np.uint64(5)
+
+    def rotated(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    def last(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+    h1, h2 = np.full(n, seed, np.uint64), np.full(n, seed, np.uint64)
+    for at in range(0, size // 16 * 2, 2):
+        h1 ^= rotated(words[:, at] * c1, 31) * c2
+        h1 = (rotated(h1, 27) + h2) * five + np.uint64(0x52DCE729)
+        h2 ^= rotated(words[:, at + 1] * c2, 33) * c1
+        h2 = (rotated(h2, 31) + h1) * five + np.uint64(0x38495AB5)
+    if size % 16:  # the rest, with zeros behind it
+        h2 ^= rotated(words[:, -1] * c2, 33) * c1
+        h1 ^= rotated(words[:, -2] * c1, 31) * c2
+    h1, h2 = h1 ^ np.uint64(size), h2 ^ np.uint64(size)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    return (last(h1) + last(h2)) & np.uint64(0xFFFFFFFF)
+
+
+def _both_strands_murmur(seq: bytes, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every k-mer and of its reverse complement, some hundred thousand at a time."""
+    n = len(seq) - k + 1
+    forward = np.lib.stride_tricks.sliding_window_view(np.frombuffer(seq, np.uint8), k)
+    backward = np.lib.stride_tricks.sliding_window_view(np.frombuffer(seq.translate(_COMPLEMENT)[::-1], np.uint8), k)[::-1]
+    parts = [[murmur3_low32(side[at : at + (1 << 17)], seed) for at in range(0, n, 1 << 17)] for side in (forward, backward)]
+    return np.concatenate(parts[0]), np.concatenate(parts[1])
 
 
 def kmer_hashes(seq: bytes, k: int, hash: str = "splitmix", seed: int = 42, only_acgt: bool = True) -> np.ndarray:
@@ -74,9 +84,13 @@ def kmer_hashes(seq: bytes, k: int, hash: str = "splitmix", seed: int = 42, only
         one, other = _splitmix(forward, seed), _splitmix(backward, seed)
         out = np.minimum(one, other)
         out[one == other] = NONE
+    elif hash == "murmur3":
+        one, other = _both_strands_murmur(seq, k, seed)
+        out = np.minimum(one, other)
+        out[one == other] = NONE
     else:
-        by = {"md5_60": lambda x: int(hashlib.md5(x).hexdigest()[:15], 16), "murmur3": lambda x: murmur3_low32(x, seed)}[hash]
-        memo = _memos.setdefault((hash, seed), {})
+        by = lambda x: int(hashlib.md5(x).hexdigest()[:15], 16)
+        memo = _memos.setdefault(hash, {})
         if len(memo) > MEMO:
             memo.clear()
 

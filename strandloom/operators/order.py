@@ -34,7 +34,7 @@ def placements(contigs: DataFrame, found: DataFrame) -> DataFrame:
 
     Sequences on the reverse strand are turned. Contigs are numbered within each reference, without their sequences, and from the number of contigs on the references before it.
     """
-    best = Window.partitionBy("contig").orderBy(F.desc("aligned"), F.desc("matches"), F.desc("mapq"), "reference", "start")
+    best = Window.partitionBy("contig").orderBy(F.desc("aligned"), F.desc("matches"), F.desc("mapq"), "reference", "start", "strand")
     top = found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "name", "length")
     placed = cut(contigs.select("contig", "name", F.length("seq").cast("long").alias("length")).join(top, "contig", "left"))
     before = F.sum("n").over(Window.orderBy(F.col("there").isNull(), "there").rowsBetween(Window.unboundedPreceding, -1))

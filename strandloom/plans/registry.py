@@ -16,6 +16,7 @@ from strandloom.functions import sequences as sq
 from strandloom.functions import statistics as st
 from strandloom.operators import analytics, intervals, mapping, order, reduce, seeds, sketch, studies
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches, reference_index
+from strandloom.plans import table_functions
 from strandloom.plans.report import counters
 from strandloom.sources import fastx, sinks
 from strandloom.sources.tables import load, passages, references
@@ -647,14 +648,29 @@ def minmer_intervals(spark, sf_dir):
     return rows.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("places"))
 
 
-@query()
+@query(f"""WITH {_HITS}, strands AS (SELECT item, contig AS ref, pos, qpos, '+' AS strand, pos - qpos AS d FROM hits UNION ALL SELECT item, contig, pos, qpos, '-', pos + qpos FROM hits),
+binned AS (SELECT *, floor(d / {BIN}.0)::BIGINT + unnest([0, 1]) AS bin FROM strands),
+groups AS (SELECT item, ref, strand, bin, count(DISTINCT qpos) AS n, min(pos) AS start, max(pos) + {K} AS "end" FROM binned GROUP BY ALL HAVING count(DISTINCT qpos) >= 3),
+best AS (SELECT * FROM groups QUALIFY row_number() OVER (PARTITION BY item, ref, strand ORDER BY n DESC, bin) = 1),
+found AS (SELECT item, ref::VARCHAR AS reference, start, "end", strand, least(n * {K}, "end" - start) AS matches, "end" - start AS aligned, least(60, n) AS mapq FROM best),
+top AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY item ORDER BY aligned DESC, matches DESC, mapq DESC, reference, start, strand) = 1),
+placed AS (SELECT i.item AS contig, i.item::VARCHAR AS name, length(seq)::BIGINT AS length, t.* FROM items i LEFT JOIN top t USING (item))
+SELECT row_number() OVER (ORDER BY reference NULLS LAST, start, "end", length DESC, name)::INT AS "order", contig, name, length, reference, start::BIGINT AS start, "end"::BIGINT AS "end", coalesce(strand, '+') AS strand,
+  coalesce(aligned, 0)::BIGINT AS aligned, coalesce(matches, 0)::BIGINT AS matches, coalesce(mapq, 0)::INT AS mapq, CASE WHEN reference IS NULL THEN 'unplaced' ELSE 'placed' END AS status FROM placed""")
 def ordered_contigs(spark, sf_dir):
     """Benchmark passages placed along documents."""
-    config = Config(kmer=K, fragment=150, window=W, diagonal_bin=BIN)
+    config = Config(kmer=K, fragment=150, window=W, diagonal_bin=BIN, hash=HASH)
     found = order.alignments(passages(spark, sf_dir), references(spark, sf_dir), config)
     return order.placements(passages(spark, sf_dir), found).drop("seq")
 
 
+@query(f"WITH {_REF_MINIMIZERS} SELECT contig, count(*) AS n, count(DISTINCT hash) AS n_different, sum(hash % 1000003)::BIGINT AS checksum FROM min_refs GROUP BY contig")
+def lateral_minimizers(spark, sf_dir):
+    """Minimizers by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql(f"SELECT contig, count(*) AS n, count(DISTINCT m.hash) AS n_different, sum(m.hash % 1000003) AS checksum FROM {{refs}}, LATERAL minimizers(seq, {K}, {W}, '{HASH}') m GROUP BY contig", refs=references(spark, sf_dir))
+
+
 @query()
 def visualization_points(spark, sf_dir):
     tiles, _ = query_sketches(_text_queries(spark, sf_dir), TEXT)

@@ -56,10 +56,26 @@ def fasta_lines(placed: DataFrame) -> DataFrame:
     return placed.orderBy("order").select(F.concat(head, F.lit("\n"), F.regexp_replace("seq", "(.{80})(?=.)", "$1\n")).alias("value"))
 
 
-def pseudochromosome(placed: DataFrame, gap: int = 1000) -> DataFrame:
-    """One row: the placed contigs in order, gap Ns between them. It is as long as the genome, which has to fit one row."""
-    rows = F.array_sort(F.collect_list(F.struct("order", "seq")))
-    return placed.where("status = 'placed'").agg(F.array_join(F.transform(rows, lambda r: r["seq"]), "N" * gap).alias("seq"))
+def pseudochromosome(placed: DataFrame, gap: int = 1000, width: int = 80, name: str = "pseudochromosome_ordered_from_query_contigs") -> DataFrame:
+    """line, value: all contigs in order as one FASTA record in lines of width, gap Ns between them; write it by write_ordered().
+
+    Contigs get their place in the record from sums of lengths over ranges, and cut themselves into whole lines and what they share with neighbours; only such
+    shared lines meet. So the record may be longer than any row: a row holds a contig's lines at most.
+    """
+    first = placed.agg(F.min("order")).first()[0]
+    texts = placed.select("order", F.when(F.col("order") == first, F.col("seq")).otherwise(F.concat(F.repeat(F.lit("N"), F.lit(gap)), "seq")).alias("text"))
+    starts = running_sums(texts.select("order", F.length("text").alias("n")).withColumn("one", F.lit(1)), ["one"], ["order"], {"start": F.col("n")}).select("order", "start")
+    at = texts.join(starts, "order").withColumn("n", F.length("text"))
+    head = F.least("n", F.pmod(-F.col("start"), F.lit(width))).cast("int")
+    cut = at.withColumn("head", head).withColumn("whole", (F.floor((F.col("n") - F.col("head")) / width) * width).cast("int"))
+    line = lambda place: F.floor(place / width).cast("long")
+    rest = F.col("head") + F.col("whole")
+    body = cut.where("whole > 0").select(line(F.col("start") + F.col("head")).alias("line"), F.regexp_replace(F.substring("text", F.col("head") + 1, F.col("whole")), f"(.{{{width}}})(?=.)", "$1\n").alias("value"))
+    ends = F.array(F.struct(F.col("start").alias("place"), F.substring("text", F.lit(1), F.col("head")).alias("part")), F.struct((F.col("start") + rest).alias("place"), F.substring("text", rest + 1, F.col("n") - rest).alias("part")))
+    parts = cut.select(F.inline(ends)).where("part <> ''").groupBy(line(F.col("place")).alias("line"))
+    shared = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda p: p["part"]), "").alias("value"))  # a line's width at most
+    title = placed.sparkSession.createDataFrame([(-1, f">{name}")], "line long, value string")
+    return body.unionByName(shared).unionByName(title)
 
 
 def paf_lines(placed: DataFrame, references: DataFrame) -> DataFrame:

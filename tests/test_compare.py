@@ -125,6 +125,17 @@ def test_phylip_lines(spark, tmp_path, parts):
     assert [line for f in sorted((tmp_path / "m").glob("part-*")) for line in f.read_text().splitlines()] == want
 
 
+@pytest.mark.parametrize("gap, width", [(0, 7), (3, 7), (20, 7), (1, 80)])
+def test_pseudochromosome_equals_the_naive_text(spark, tmp_path, gap, width):
+    """Contigs shorter than a line, empty ones, and ones that end where a line does."""
+    r = random.Random(gap)
+    seqs = [dna(r.choice([0, 1, 2, 7, 14, 50, 333]), i) for i in range(60)]
+    placed = spark.createDataFrame([(i + 1, s) for i, s in enumerate(seqs)], "order int, seq string").repartition(4)
+    sinks.write_ordered(sinks.pseudochromosome(placed, gap, width, "x"), "line", str(tmp_path / "p"))
+    whole = ("N" * gap).join(seqs)
+    assert "".join(f.read_text() for f in sorted((tmp_path / "p").glob("part-*"))) == "".join(line + "\n" for line in [">x", *(whole[i : i + width] for i in range(0, len(whole), width))])
+
+
 def test_running_sums(spark):
     """Sums over the rows before, of keys in many ranges and of keys that share one."""
     r = random.Random(8)
@@ -193,7 +204,9 @@ def test_order(spark):
     got = placed.orderBy("order").collect()
     assert [(r.name, r.strand, r.status) for r in got] == [("left", "+", "placed"), ("mid", "+", "placed"), ("back", "-", "placed"), ("none", "+", "unplaced")]
     assert got[2].seq == ref[15000:18000] and abs(got[1].start - 9000) < 30
-    assert sinks.pseudochromosome(placed, 10).first()[0].startswith(ref[2000:4500] + "N" * 10)
+    whole = ("N" * 10).join(r.seq for r in got)
+    lines = sinks.pseudochromosome(placed, 10).orderBy("line").collect()
+    assert lines[0].value == ">pseudochromosome_ordered_from_query_contigs" and "\n".join(r.value for r in lines[1:]) == "\n".join(whole[i : i + 80] for i in range(0, len(whole), 80))
     assert sinks.fasta_lines(placed).first()[0].startswith(">0001_left ref=refA:")
     assert sinks.paf_lines(placed, refs).count() == 3
 

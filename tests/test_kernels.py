@@ -14,9 +14,46 @@ def dna(n, seed=0, letters="ACGT"):
     return "".join(r.choice(letters) for _ in range(n))
 
 
+def plain_murmur3(data, seed):
+    mask, c1, c2 = (1 << 64) - 1, 0x87C37B91114253D5, 0x4CF5AD432745937F
+    turn = lambda x, r: (x << r | x >> (64 - r)) & mask
+
+    def mixed(x):
+        for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * by & mask
+        return x ^ x >> 33
+
+    a = b = seed
+    for at in range(0, len(data) + 1, 16):
+        part = data[at : at + 16]
+        one, two = int.from_bytes(part[:8], "little"), int.from_bytes(part[8:], "little")
+        one, two = turn(one * c1 & mask, 31) * c2 & mask, turn(two * c2 & mask, 33) * c1 & mask
+        if len(part) < 16:
+            a, b = a ^ one, b ^ two
+            break
+        a = ((turn(a ^ one, 27) + b) * 5 + 0x52DCE729) & mask
+        b = ((turn(b ^ two, 31) + a) * 5 + 0x38495AB5) & mask
+    a, b = a ^ len(data), b ^ len(data)
+    a = (a + b) & mask
+    b = (b + a) & mask
+    return (mixed(a) + mixed(b)) & 0xFFFFFFFF
+
+
 def test_murmur_known_values():
-    assert kn.murmur3_low32(b"", 0) == 0
-    assert kn.murmur3_low32(b"hello", 0) == 0xCBD8A7B341BD9B02 & 0xFFFFFFFF
+    row = lambda *xs: np.array([list(x) for x in xs], np.uint8).reshape(len(xs), -1)
+    assert kn.murmur3_low32(row(b""), 0).tolist() == [0]
+    assert kn.murmur3_low32(row(b"hello", b"hello"), 0).tolist() == [0xCBD8A7B341BD9B02 & 0xFFFFFFFF] * 2
+    for size in (1, 8, 9, 15, 16, 17, 31, 32, 40):
+        data = [bytes(random.Random(size * 7 + i).choices(range(256), k=size)) for i in range(5)]
+        assert kn.murmur3_low32(row(*data), 42).tolist() == [plain_murmur3(x, 42) for x in data]
+
+
+@pytest.mark.parametrize("k", [1, 12, 16, 21])
+def test_murmur_hashes_of_both_strands(k):
+    seq = dna(400, k).replace("A", "N", 2).encode()
+    turned = seq.translate(bytes.maketrans(b"ACGT", b"TGCA"))[::-1]
+    pairs = [(plain_murmur3(seq[i : i + k], 42), plain_murmur3(turned[len(seq) - i - k : len(seq) - i], 42)) for i in range(len(seq) - k + 1)]
+    assert kn.kmer_hashes(seq, k, "murmur3", 42, only_acgt=False).tolist() == [min(p) if p[0] != p[1] else int(kn.NONE) for p in pairs]
 
 
 def test_hashes_are_those_of_both_strands_and_skip_palindromes():
