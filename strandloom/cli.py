@@ -16,16 +16,32 @@ from strandloom.session import ship
 from strandloom.sources import fastx, sinks
 
 
+def _inputs(command: argparse.ArgumentParser) -> None:
+    for short, long, listed in (("-q", "--query", "--ql"), ("-r", "--reference", "--rl")):
+        which = command.add_mutually_exclusive_group(required=True)
+        which.add_argument(short, long)
+        which.add_argument(listed, listed + "ist" if listed == "--ql" else "--refList")
+    command.add_argument("-o", "--output", required=True)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandloom")
     commands = top.add_subparsers(dest="command", required=True)
     run = commands.add_parser("compare", help="identities of query genomes against reference genomes")
-    for short, long, listed in (("-q", "--query", "--ql"), ("-r", "--reference", "--rl")):
-        which = run.add_mutually_exclusive_group(required=True)
-        which.add_argument(short, long)
-        which.add_argument(listed, listed + "ist" if listed == "--ql" else "--refList")
-    run.add_argument("-o", "--output", required=True)
+    fixed = commands.add_parser("compare-exact", help="the same by exact minimizers (or minmers) of MurmurHash3 and the Poisson model, with one window for both sides")
+    for command in (run, fixed):
+        _inputs(command)
     plain = Config()
+    for flag, field, kind in (("-k", "kmer", int), ("--fragLen", "fragment", int), ("--minIdentity", "min_identity", float), ("--minFraction", "min_fraction", float)):
+        fixed.add_argument(flag, dest=field, type=kind, default=getattr(plain, field))
+    fixed.add_argument("--minmer", dest="mode", action="store_const", const="minmer", default="exact")
+    fixed.add_argument("--matrix", action="store_true")
+    fixed.add_argument("--timing", metavar="FOLDER")
+    fixed.set_defaults(hash="murmur3", visualize=False, split=None)
+    hits = commands.add_parser("hits", help="the best hit of each query of a table of search results")
+    hits.add_argument("table", help="tab-parted, with the columns of fastx.BLAST_SCHEMA")
+    hits.add_argument("output")
+    hits.add_argument("--coverage", type=float, default=0.0, help="least share of a query that a hit covers, in percent")
     for flag, field, kind in (
         ("-k", "kmer", int), ("--fragLen", "fragment", int), ("--minIdentity", "min_identity", float), ("--minFraction", "min_fraction", float), ("--pValue", "p_value", float), ("--referenceSize", "reference_size", int),
         ("--windowSize", "window", int), ("--ignoreTopPercent", "ignore_top_percent", float), ("--seed", "seed", int), ("--diagBin", "diagonal_bin", int), ("--diagBand", "diagonal_band", int),
@@ -62,14 +78,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("strandloom").getOrCreate()
     ship(spark)
-    {"compare": _compare, "order": _order, "agree": _agree, "study": _study}[a.command](spark, a)
+    {"compare": _compare, "compare-exact": _compare, "hits": _hits, "order": _order, "agree": _agree, "study": _study}[a.command](spark, a)
 
 
 def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = [[one] if one else fastx.read_path_list(spark, listed) for one, listed in ((a.query, a.ql), (a.reference, a.rl))]
     queries, references = (fastx.read_sequences(spark, p) for p in paths)
     queries, references = queries.drop("seq_raw"), references.drop("seq_raw")
-    config = Config(**{f: getattr(a, f) for f in Config.__dataclass_fields__}).checked()
+    config = Config(**{f: getattr(a, f) for f in Config.__dataclass_fields__ if hasattr(a, f)}).checked()
     report = StageReport() if a.timing else None
     found = analytics.cut(compare_split(queries, references, config, a.split, report) if a.split else compare(queries, references, config, report))
     sinks.write_lines(sinks.ani_lines(found), a.output)
@@ -86,6 +102,11 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
         points.write.mode("overwrite").csv(a.output + ".map", sep="\t", header=True)
 
 
+def _hits(spark: SparkSession, a: argparse.Namespace) -> None:
+    best = analytics.best_search_hits(fastx.read_blast(spark, a.table), "qseqid", a.coverage)
+    best.orderBy("qseqid").write.mode("overwrite").csv(a.output, sep="\t", header=True)
+
+
 def _order(spark: SparkSession, a: argparse.Namespace) -> None:
     references, contigs = fastx.read_sequences(spark, a.reference), fastx.read_sequences(spark, a.query)
     placed = analytics.cut(order.placements(contigs, order.alignments(contigs, references, Config())))

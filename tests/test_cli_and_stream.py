@@ -29,6 +29,27 @@ def test_compare_files(spark, tmp_path):
     assert sum(line.split("\t")[1].endswith("a.fa") for line in lines(tmp_path / "out.map")) == 6
 
 
+def test_compare_exact_and_timing(spark, tmp_path):
+    one = dna(6000, 1)
+    (tmp_path / "a.fa").write_text(f">a\n{one}\n")
+    (tmp_path / "b.fq").write_text(f"@b\n{one[:4000]}\n+\n{'I' * 4000}\n")
+    for more in ([], ["--minmer"]):
+        cli.main(["compare-exact", "-q", f"{tmp_path}/a.fa", "-r", f"{tmp_path}/b.fq", "-o", f"{tmp_path}/out", "--fragLen", "1000", "--timing", f"{tmp_path}/t", *more], spark)
+        (ani, *counts), = [line.split("\t")[2:] for line in lines(tmp_path / "out")]
+        assert float(ani) > 99.9 and counts == ["4", "6"]
+        told = {tuple(line.split("\t")[:3]): float(line.split("\t")[3]) for line in lines(tmp_path / "t") if not line.startswith("section")}
+        assert told["stage", "mappings", "rows"] >= 4 and told["stage", "query", "seconds"] > 0
+        assert [v for (section, name, metric), v in told.items() if section == "query" and metric == "mappings"] == [told["stage", "mappings", "rows"]]
+
+
+def test_best_hits_of_a_table(spark, tmp_path):
+    row = lambda q, s, score, covers: f"{q}\t{s}\t99.5\t100\t0\t0\t1\t100\t5\t104\t0.0\t{score}\t100\t900\t{covers}\n"
+    (tmp_path / "b.tsv").write_text(row("frag_3|qstart=7|qend=9", "s1", 50, 80) + row("frag_3|qstart=7|qend=9", "s2", 70, 95) + row("frag_4|qstart=1|qend=2", "s3", 90, 10))
+    cli.main(["hits", f"{tmp_path}/b.tsv", f"{tmp_path}/best", "--coverage", "50"], spark)
+    head, *got = [line.split("\t") for line in lines(tmp_path / "best")]
+    assert [dict(zip(head, x))["sseqid"] for x in got] == ["s2"] and dict(zip(head, got[0]))["fragment"] == "3"
+
+
 def test_order_and_agree(spark, tmp_path):
     ref = dna(12_000, 3)
     (tmp_path / "ref.fa").write_text(f">chr\n{ref}\n")
