@@ -8,8 +8,9 @@ points that at least two documents hold lose all their lines but those of the sm
    hold the last 64 bits as fingerprint, the count and the owner at its place. A shard is one row.
 3. Documents probe: each line's hash goes to its shard, which looks it up in the arrays; only what must go comes back.
    Lines in HOT_LEAST documents or more and in over 1 / HOT_SHARE of all (line, document) pairs, which are HOT_SHARE at most, form a
-   shard of their own that is broadcast. A shard that more than twice SHARD_PROBES pairs probe is copied, and its probes are dealt to the
-   copies by document, so that no common line sends its many probes to one task.
+   shard of their own that is broadcast. There are MAX_SHARDS shards at most, in as many copies as an even share of the pairs needs; a shard that
+   more than twice that probe gets more copies, and the list of these is broadcast (half of MAX_SHARDS at most). Probes are dealt to copies
+   by document, so that no common line sends its many probes to one task.
 4. Each document drops the lines it was told to.
 
 A text that is null or empty has one empty line. A row with a null id neither counts nor loses lines. Rows that share an id
@@ -31,6 +32,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CONTINUED = bytes(range(0x80, 0xC0))
 #: Lines held by a shard, (line, document) pairs probing one, the share of pairs from which a line is hot, and the documents that it has at least.
 SHARD_LINES, SHARD_PROBES, HOT_SHARE, HOT_LEAST = 100_000, 250_000, 20_000, 10_000
+#: Shards at most: with more lines or pairs than they hold at the sizes above, shards grow and are copied.
+MAX_SHARDS = 50_000
 
 
 def key_of(line: bytes) -> bytes:
@@ -162,11 +165,12 @@ def _drops(docs: DataFrame, min_chars: int) -> DataFrame:
     texts = docs.where("doc_id is not null")
     shared = materialized(_shared_lines(texts, min_chars))
     lines, pairs = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-lines // SHARD_LINES), -(-pairs // SHARD_PROBES))
+    shards = min(MAX_SHARDS, max(1, -(-lines // SHARD_LINES), -(-pairs // SHARD_PROBES)))
+    usual = max(1, -(-pairs // (shards * SHARD_PROBES)))  # copies of a shard with an even share
     hot_from = max(HOT_LEAST, pairs // HOT_SHARE + 1)
     hot_rows = shared.where(F.col("n") >= hot_from).toArrow()  # HOT_SHARE rows at most, as their counts sum up to pairs
     sharded = shared.where(F.col("n") < hot_from).withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    busy = sharded.groupBy("shard").agg(F.sum("n").alias("probes")).where(F.col("probes") > 2 * SHARD_PROBES)  # half as many as there are shards at most
+    busy = sharded.groupBy("shard").agg(F.sum("n").alias("probes")).where(F.col("probes") > 2 * usual * SHARD_PROBES)  # half as many as there are shards at most
     busy = materialized(busy.select("shard", F.ceil(F.col("probes") / SHARD_PROBES).cast("int").alias("copies")))
     copies = busy.orderBy("shard").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast((_build(-1, *(hot_rows[c].to_numpy() for c in ("h1", "h2", "n", "owner"))), copies["shard"].to_numpy(), copies["copies"].to_numpy()))
@@ -175,7 +179,7 @@ def _drops(docs: DataFrame, min_chars: int) -> DataFrame:
         return _as_batch(_build(key[0].as_py(), *(group[c].to_numpy() for c in ("h1", "h2", "n", "owner"))))
 
     index = sharded.groupBy("shard").applyInArrow(build, SHARD_SCHEMA)
-    index = index.join(F.broadcast(busy), "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    index = index.join(F.broadcast(busy), "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(usual)) - 1))).drop("copies")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's keys: those that the common lines tell to go, and those that shards are asked for."""
@@ -183,10 +187,11 @@ def _drops(docs: DataFrame, min_chars: int) -> DataFrame:
         common = Shard(row)
         for doc_ids, h1, h2 in _keys_of(batches, min_chars):
             count, owner = common.look_up(h1, h2)
-            gone, shard, copy = count > 0, (h1 % shards).astype(np.int32), np.zeros(len(h1), np.int32)
+            gone, shard, copy = count > 0, (h1 % shards).astype(np.int32), doc_ids % usual
             if len(busy_shards):
                 at = np.minimum(np.searchsorted(busy_shards, shard), len(busy_shards) - 1)
-                copy = np.where(busy_shards[at] == shard, doc_ids % copies[at], 0).astype(np.int32)
+                copy = np.where(busy_shards[at] == shard, doc_ids % copies[at], copy)
+            copy = copy.astype(np.int32)
             keep = ~gone | (owner != doc_ids)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc_ids, h1, h2, gone, shard, copy)], ["doc_id", "h1", "h2", "gone", "shard", "copy"])
 

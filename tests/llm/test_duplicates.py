@@ -104,6 +104,10 @@ def test_lines_against_brute_force(spark, monkeypatch):
             monkeypatch.setattr(lines, name, value)
         got = lines.dedup_lines(docs).collect()
         assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got) == brute_lines(LINES)
+    for most, probes in ((1, 2), (2, 1), (3, 5)):  # few shards: all are copied, and some are busy
+        for name, value in (("MAX_SHARDS", most), ("HOT_LEAST", 10_000), ("SHARD_PROBES", probes)):
+            monkeypatch.setattr(lines, name, value)
+        assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in lines.dedup_lines(docs).collect()) == brute_lines(LINES)
     kept = lines.dedup_lines(docs, keep_columns=True)
     assert kept.columns == docs.columns and {r.text for r in kept.where("doc_id = 9").collect()} == {None}
     assert lines.dedup_lines(docs.limit(0)).count() == 0
