@@ -5,7 +5,7 @@ by how rare they are over all documents. Since a window counts only if all of it
 must hold at least one, is the rarest alone. Documents are probed by these prefix shingles only; the shingle's place in the window gives
 the one start that can match, which must lie in the document with the whole length, and the words of that stretch are then compared exactly.
 
-The items are a query set: they go to all tasks in blocks of at most BLOCK_BYTES of text, one pass over the documents for each block.
+The items are a query set: they go to all tasks in blocks of at most BLOCK_BYTES of text and one piece more, one pass over the documents for each block.
 Null or empty texts have no words and no hits; items with a null id or no words are not looked for. Items that share an id are one.
 Rows that repeat come out as often as they go in. Empty tables give no rows, or documents without hits.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import ids_and_texts, materialized, slices, small_batches, unused
+from strandloom.operators.analytics import running_sums
 
 #: A-Z to lower case; digits, letters and all bytes from 0x80 on stay; anything else parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -139,12 +140,18 @@ def _probes(texts: DataFrame, items: DataFrame, window: int, item_col: str, item
                     parts.append(b" ".join(words[at : at + PIECE_WORDS + window - 1]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], ["item_id", "text"])
 
-    items = materialized(items.mapInArrow(cut, "item_id long, text string"))
+    items = materialized(items.mapInArrow(cut, "item_id long, text string").distinct())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    if size > BLOCK_BYTES:  # blocks by the bytes before a piece; texts of one item that share a hash would only share their place
+        order = items.withColumn("hash", F.xxhash64("text")).withColumn("all", F.lit(0))
+        items = materialized(running_sums(order, ["all"], ["item_id", "hash"], {"before": F.octet_length("text")}).select("item_id", "text", F.floor(F.col("before") / BLOCK_BYTES).alias("block")))
+    else:
+        items = items.withColumn("block", F.lit(0).cast("long"))
     out = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    for block in range(max(1, -(-size // BLOCK_BYTES))):
+        rows = items.where(F.col("block") == block).collect()
+        if not rows and block:
+            continue  # a piece of several blocks' bytes lies in the first of them
         shingles = Shingles([(r.item_id, r.text) for r in rows], window)
         out.append(texts.sparkSession.sparkContext.broadcast(Probe(shingles, _counts(texts, shingles))))
     return out
