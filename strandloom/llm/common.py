@@ -67,6 +67,12 @@ def slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def one_text_an_id(rows: DataFrame) -> DataFrame:
+    """id, y, text: of rows (id, y, text) that share an id and a label the one whose text has the least hash. Spark reduces a repeated id before it shuffles."""
+    least = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return least.select("id", "y", F.col("least.text").alias("text"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices, small_batches
+from strandloom.llm.common import one_text_an_id, slices, small_batches
 
 STATISTICS = ("chars", "words", "word_chars", "lines", "line_chars", "upper", "digits", "stops", "symbols", "spaces", "different_words", "most_common_word", "repeated_lines", "capital_words", "marked_words", "long_words", "runs")
 #: Labelled rows that the fit takes at most, drawn by hash; trees, their depth, and the lasso's strength for each row.
@@ -144,13 +144,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> RuleEnsemble:
     """Fit on at most sample labelled rows, the least by a hash of their id; labels must hold training rows only.
 
-    An id with several labels has the greatest; of documents that share an id each is a row. Rows with a null id or label are left out.
+    An id with several labels has the greatest, and of documents that share an id the text with the least hash is taken, so that ids bound the rows.
+    Rows with a null id or label are left out.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(rows.orderBy(F.xxhash64("id"), "id").limit(sample))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "y", "text")
-    got = with_statistics(found).toPandas().sort_values("id")
+    got = with_statistics(one_text_an_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id"))).toPandas().sort_values("id")
     return fit(got[[f"__{s}" for s in STATISTICS]].to_numpy(float), got["y"].to_numpy(float))
 
 

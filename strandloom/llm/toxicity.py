@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices, small_batches
+from strandloom.llm.common import one_text_an_id, slices, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SEQUENCE = 64
@@ -215,13 +215,14 @@ def _fit_field(sequences: list[tuple[list[str], np.ndarray]]) -> tuple[dict[str,
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_A_KIND) -> Tagger:
     """Fit on at most sample labelled rows of each kind, the least by a hash of their id; labels must hold training rows only.
 
-    An id with several labels has the greatest; of documents that share an id each is a row. Rows with a null id or label are left out.
+    An id with several labels has the greatest, and of documents that share an id the text with the least hash is taken, so that ids bound the rows.
+    Rows with a null id or label are left out.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     kinds = [rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]))  # 2 * sample rows at most
-    got = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "y").toArrow().sort_by("id")
+    got = one_text_an_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")).toArrow().sort_by("id")
     return fit(got["text"].to_pylist(), got["y"].to_pylist())
 
 

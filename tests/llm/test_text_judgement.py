@@ -2,8 +2,10 @@ import itertools
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, fixity, licenses, lines, quality, simhash, toxicity
+from strandloom.llm import decontamination, fixity, licenses, lines, quality, queries, simhash, toxicity
+from strandloom.llm.common import one_text_an_id
 
 
 def lower(t):
@@ -62,6 +64,33 @@ def test_columns_that_clash_with_our_own_stay(spark):
         assert kept.columns == docs.columns and all(r[2:] == tuple(names) for r in kept.collect()) and kept.count() == 2
 
 
+def test_repeated_items_are_one_and_fill_no_block(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(30))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1_000)
+    texts = spark.createDataFrame([(1, passage), (2, "x" * 50)], "doc_id long, text string")
+    repeated = spark.range(10_000).select(F.lit(4).cast("long").alias("item_id"), F.lit(passage).alias("text"))
+    assert len(decontamination._probes(texts, repeated, 13, "item_id", "text")) == 1
+    assert [(r.doc_id, r.n_hit) for r in decontamination.scan(texts, repeated).orderBy("doc_id").collect()] == [(1, 30), (2, 0)]
+    several = spark.range(100).select(F.lit(4).cast("long").alias("item_id"), F.concat(F.lit(passage), F.lit(" z"), "id").alias("text"))
+    probes = decontamination._probes(texts, several, 13, "item_id", "text")
+    size = several.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert len(probes) == -(-size // 1_000) and max(len(p.value.shingles.vocabulary) for p in probes) <= 30 + 1_000 // len(passage) + 3
+    assert decontamination.scan(texts, several).where("contaminated").count() == 1
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    many = spark.range(10_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5_000).alias("text"), F.lit("c").alias("y"))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, label int")
+    got = one_text_an_id(many.selectExpr("doc_id AS id", "text").join(labels.selectExpr("doc_id AS id", "label AS y"), "id")).collect()
+    assert sorted((r.id, r.y) for r in got) == [(0, 0), (1, 1)]
+    for module in (toxicity, quality):
+        scores = module.score(many, module.train(many, labels, "label"))
+        assert scores.count() == 10_000
+    assert [r.held_out for r in spark.createDataFrame([(None,)], "doc_id long").select(queries._held_out(3, 1)).collect()] == [False]
+    nulls = spark.createDataFrame([(1, 1, None), (1, 1, None), (2, 0, "")], "id long, y int, text string")
+    assert sorted(map(tuple, one_text_an_id(nulls).collect())) == [(1, 1, None), (2, 0, "")]
+
+
 def test_training_tables_with_nulls_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, "bad awful words" if i % 2 else "good plain words", "x") for i in range(40)] + [(3, None, "x"), (None, "text", "x")], "doc_id long, text string, id string")
     labels = [(i, i % 2, i % 2, 0) for i in range(40)] + [(3, 1, 1, 0), (3, 0, 0, 0), (None, 1, 1, 0), (5, None, None, 0), (99, 1, 1, 0)]
