@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import Config
-from strandloom.operators import analytics, order, studies
+from strandloom.operators import analytics, base_level, order, studies
 from strandloom.operators.reduce import best_both_ways
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches
 from strandloom.plans.report import StageReport
@@ -113,7 +113,7 @@ def _order(spark: SparkSession, a: argparse.Namespace) -> None:
     placed.drop("seq", "contig").orderBy("order").write.mode("overwrite").csv(a.prefix + ".tsv", sep="\t", header=True)
     sinks.write_lines(sinks.fasta_lines(placed), a.prefix + ".fasta")
     sinks.write_ordered(sinks.pseudochromosome(placed), "line", a.prefix + ".pseudo.fasta")
-    sinks.write_lines(sinks.paf_lines(placed, references), a.prefix + ".paf")
+    sinks.write_lines(sinks.paf_lines(placed, references, base_level.aligned(contigs, references, placed, Config())), a.prefix + ".paf")
 
 
 def _agree(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -124,6 +124,16 @@ def window_minimizers(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarra
     return least[first], np.flatnonzero(first)
 
 
+def minimizer_places(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of each k-mer that is the minimum of a window it lies in; both strands of a sequence show the same k-mers."""
+    if len(hashes) < w:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    edge = np.zeros(w - 1, np.uint64)
+    most = ~_sliding_min(~np.concatenate([edge, _sliding_min(hashes, w), edge]), w)  # the largest of the minima of the windows over a place
+    found = np.flatnonzero((most == hashes) & (hashes != NONE))
+    return hashes[found], found
+
+
 def exact_minimizers(hashes: np.ndarray, w: int) -> tuple[list[int], list[int]]:
     """(hash, window) once for each k-mer that is a window's minimum (the last of equal ones), at the window that shows it first.
 

@@ -22,7 +22,7 @@ def fragments(seqs: DataFrame, length: int) -> DataFrame:
     return tiles.select("genome", "contig", (F.col("first") + F.col("tile")).alias("frag"), (F.col("base") + F.col("tile") * length).alias("global_start"), F.substr("seq", F.col("tile") * length + 1, F.lit(length)).alias("seq"))
 
 
-def _kernel_rows(seqs: DataFrame, keys: list[str], kernel, fields: list[tuple[str, str]]) -> DataFrame:
+def kernel_rows(seqs: DataFrame, keys: list[str], kernel, fields: list[tuple[str, str]]) -> DataFrame:
     """keys and the arrays that kernel gives for each seq, a row for each element; dtypes are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def minimizers(seqs: DataFrame, keys: list[str], k: int, w: int, hash: str = "sp
         hashes = kernels.kmer_hashes(seq, k, hash, seed, only_acgt=mode != "exact")
         return kernels.window_minimizers(hashes, w) if mode == "window" else kernels.exact_minimizers(hashes, w) if len(seq) >= w else ([], [])
 
-    return _kernel_rows(seqs, keys, kernel, [("hash", "long"), ("pos", "long")])
+    return kernel_rows(seqs, keys, kernel, [("hash", "long"), ("pos", "long")])
 
 
 def sketches(seqs: DataFrame, keys: list[str], k: int, w: int, hash: str = "splitmix", mode: str = "window", seed: int = 42, size: int | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def sketches(seqs: DataFrame, keys: list[str], k: int, w: int, hash: str = "spli
             different, first = different[:size], first[:size]
         return different, np.asarray(places)[first] if len(first) else first, np.full(len(first), len(first))
 
-    return _kernel_rows(seqs, keys, kernel, [("hash", "long"), ("qpos", "long"), ("sketch_size", "long")])
+    return kernel_rows(seqs, keys, kernel, [("hash", "long"), ("qpos", "long"), ("sketch_size", "long")])
 
 
 def minmer_intervals(seqs: DataFrame, keys: list[str], k: int, window: int, size: int, hash: str = "splitmix", seed: int = 42) -> DataFrame:
@@ -84,7 +84,7 @@ def minmer_intervals(seqs: DataFrame, keys: list[str], k: int, window: int, size
                 out += [(h, int(a) + s, int(a) + e) for h, s, e in kernels.minmer_intervals(hashes[a : b - k + 1], window, size)]
         return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
-    return _kernel_rows(seqs, keys, kernel, [("hash", "long"), ("start", "long"), ("end", "long")])
+    return kernel_rows(seqs, keys, kernel, [("hash", "long"), ("start", "long"), ("end", "long")])
 
 
 def bottom_sketch(hashes: DataFrame, group: str, size: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.config import Config
 from strandloom.functions import sequences as sq
 from strandloom.functions import statistics as st
-from strandloom.operators import analytics, intervals, mapping, order, reduce, seeds, sketch, studies
+from strandloom.operators import analytics, base_level, intervals, mapping, order, reduce, seeds, sketch, studies
 from strandloom.plans.compare import compare, compare_split, map_fragments, query_sketches, reference_index
 from strandloom.plans import table_functions
 from strandloom.plans.report import counters
@@ -671,6 +671,15 @@ def lateral_minimizers(spark, sf_dir):
     return spark.sql(f"SELECT contig, count(*) AS n, count(DISTINCT m.hash) AS n_different, sum(m.hash % 1000003) AS checksum FROM {{refs}}, LATERAL minimizers(seq, {K}, {W}, '{HASH}') m GROUP BY contig", refs=references(spark, sf_dir))
 
 
+@query()
+def aligned_contigs(spark, sf_dir):
+    """Benchmark passages aligned base by base with their place in a document."""
+    config = Config(kmer=K, fragment=150, window=W, diagonal_bin=BIN, hash=HASH)
+    contigs, refs = passages(spark, sf_dir), references(spark, sf_dir)
+    placed = analytics.cut(order.placements(contigs, order.alignments(contigs, refs, config)))
+    return base_level.aligned(contigs, refs, placed, config)
+
+
 @query()
 def visualization_points(spark, sf_dir):
     tiles, _ = query_sketches(_text_queries(spark, sf_dir), TEXT)

@@ -78,11 +78,16 @@ def pseudochromosome(placed: DataFrame, gap: int = 1000, width: int = 80, name:
     return body.unionByName(shared).unionByName(title)
 
 
-def paf_lines(placed: DataFrame, references: DataFrame) -> DataFrame:
-    """value: a pairwise mapping line for each placed contig, without an alignment string."""
+def paf_lines(placed: DataFrame, references: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """value: a pairwise mapping line for each placed contig; with base_level.aligned() its extents, counts and alignment string (cg:Z:) are those of the bases."""
     lengths = references.select(F.col("name").alias("reference"), F.length("seq").alias("reference_length"))
     rows = placed.where("status = 'placed'").join(lengths, "reference")
-    return rows.select(F.concat_ws("\t", "name", "length", F.lit(0), "length", "strand", "reference", "reference_length", "start", "end", "matches", "aligned", "mapq").alias("value"))
+    if aligned is None:
+        return rows.select(F.concat_ws("\t", "name", "length", F.lit(0), "length", "strand", "reference", "reference_length", "start", "end", "matches", "aligned", "mapq").alias("value"))
+    own = aligned.select("contig", "q_start", "q_end", F.col("start").alias("b0"), F.col("end").alias("b1"), F.col("matches").alias("equal"), "columns", "cigar")
+    turned = F.col("strand") == "-"  # places on the contig as it was given
+    q0, q1 = F.when(turned, F.col("length") - F.col("q_end")).otherwise(F.col("q_start")), F.when(turned, F.col("length") - F.col("q_start")).otherwise(F.col("q_end"))
+    return rows.join(own, "contig").select(F.concat_ws("\t", "name", "length", q0, q1, "strand", "reference", "reference_length", "b0", "b1", "equal", "columns", "mapq", F.concat(F.lit("cg:Z:"), "cigar")).alias("value"))
 
 
 def long_metrics(rows: DataFrame, section: str, name_col: str) -> DataFrame:
