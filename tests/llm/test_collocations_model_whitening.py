@@ -226,3 +226,53 @@ def test_rank_one_updates(kind):
     half.combine(other)
     assert half.n == len(x) and np.abs(half.mean - x.mean(axis=0)).max() < 1e-9 * max(1, np.abs(x).max())
     assert np.abs((half.vectors * half.values) @ half.vectors.T - scatter).max() < 1e-11 * scale
+
+
+def test_runs_hold_every_output_once_with_those_before_it():
+    draw = np.random.default_rng(6)
+    docs = [np.append(draw.integers(1, 287, n), 0).astype(np.int16) for n in (0, 1, 31, 32, 33, 0, 200, 4)]
+    runs, counted = language_model.runs_of([d.tobytes() for d in docs])
+    outputs, before, _ = language_model.contexts([d.tobytes() for d in docs])
+    c, length = language_model.CONTEXT, language_model.RUN
+    assert runs.shape == (len(counted), c + length) and runs[:, c:][counted].tolist() == outputs.tolist()
+    assert np.stack([runs[:, c - i : c - i + length][counted] for i in range(1, c + 1)], axis=1).tolist() == before.tolist()
+
+
+def test_a_step_on_runs_is_the_step_on_their_outputs():
+    draw, n = np.random.default_rng(7), 287
+    runs, counted = language_model.runs_of([np.append(draw.integers(1, n, k), 0).astype(np.int16).tobytes() for k in (3, 70, 0, 40)])
+    noise, log_noise = draw.integers(0, n, 48), np.log(np.full(n, 48 / n)).astype(np.float32)
+    one, other = (language_model.Model(n, np.random.default_rng(8).normal(size=n * 49 + 120) / 3) for _ in range(2))
+    squares = [language_model.Model(n, np.full(len(one.flat), 1e-4)) for _ in range(2)]
+    c = language_model.CONTEXT
+    before = np.stack([runs[:, c - i : c - i + language_model.RUN][counted] for i in range(1, c + 1)], axis=1)
+    one.step_on_runs(runs, counted, noise, log_noise, squares[0])
+    other.step(before, runs[:, c:][counted], noise, log_noise, squares[1])
+    assert np.abs(one.flat - other.flat).max() < 1e-4 and np.abs(squares[0].flat - squares[1].flat).max() < 1e-6
+
+
+@pytest.mark.parametrize("scale", [0.1, 3, 30])
+def test_probabilities_of_any_size_of_scores(scale):
+    """Also where odds, and the factors they are made of, pass single precision."""
+    draw, n = np.random.default_rng(9), 40
+    model = language_model.Model(n, draw.normal(size=n * 49 + 120) * scale)
+    before, w = draw.integers(0, n, (1100, language_model.CONTEXT)).astype(np.int16), draw.integers(0, n, 1100).astype(np.int16)
+    q = sum(model.context[before[:, i]].astype(float) * model.places[i] for i in range(language_model.CONTEXT))
+    s = q @ model.target.T.astype(float) + model.bias
+    want = s[np.arange(1100), w] - s.max(axis=1) - np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1))
+    assert model.log_probabilities(before, w) == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_words_beyond_the_own_outputs_keep_an_exact_share_each(spark):
+    """Every word is predicted, however many there are: own outputs, words of classes by their shares, and a share for unseen words sum to one."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 40 + j}{'abc'[j % 3]}" for j in range(40)) + " common") for i in range(60)], "doc_id long, text string")
+    coded, vocabulary = language_model.encode(docs, 7, 2)
+    assert vocabulary.distinct > 3 * vocabulary.outputs
+    rows = coded.where("training").collect()
+    first_class = 1 + len(vocabulary.own)
+    shares = [vocabulary.class_words[k] * 2 / (n + vocabulary.class_words[k] + 1) + 1 / (n + vocabulary.class_words[k] + 1) for k, n in enumerate(vocabulary.class_tokens)]
+    assert shares == pytest.approx([1] * len(shares))  # each word of a class came once here
+    for r in rows[:5]:
+        outputs = np.frombuffer(r.outputs, np.int16)
+        in_class = outputs[outputs >= first_class] - first_class
+        assert len(outputs) == 42 and r.share == pytest.approx(sum(math.log10(2 / (vocabulary.class_tokens[k] + vocabulary.class_words[k] + 1)) for k in in_class))
