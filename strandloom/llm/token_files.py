@@ -66,8 +66,34 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
 def _pack(rows: np.ndarray, width: int) -> list[bytes]:
     if not width:
         return [b""] * len(rows)
-    bits = np.unpackbits(rows.astype("<u4").view(np.uint8).reshape(len(rows), -1, 4), axis=2, bitorder="little")[:, :, :width]
-    return [b.tobytes() for b in np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")]
+    n, whole = rows.shape[1], np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))
+    low = np.ascontiguousarray((whole & np.uint32((1 << width) - 1)).reshape(-1, 8).T)
+    out = np.zeros((width, low.shape[1]), np.uint8)  # eight numbers take width bytes
+    for j, v in enumerate(low):
+        at, shift = divmod(j * width, 8)
+        v = v.astype(np.uint32 if width + shift <= 32 else np.uint64)
+        v <<= v.dtype.type(shift)
+        for k in range(-(-(width + shift) // 8)):
+            out[at + k] |= (v >> v.dtype.type(8 * k)).astype(np.uint8)
+    packed = np.ascontiguousarray(out.T).reshape(len(rows), -1)[:, : -(-n * width // 8)]
+    return [b.tobytes() for b in packed]
+
+
+def _unpack(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """n numbers of each row of _pack()."""
+    if not width:
+        return np.zeros((len(packed), n), np.uint32)
+    columns = np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -(-n // 8) * width - packed.shape[1]))).reshape(-1, width).T)
+    out = np.empty((8, columns.shape[1]), np.uint32)
+    for j in range(8):
+        at, shift = divmod(j * width, 8)
+        wide = np.uint32 if width + shift <= 32 else np.uint64
+        v = columns[at].astype(wide)
+        for k in range(1, -(-(width + shift) // 8)):
+            v |= columns[at + k].astype(wide) << wide(8 * k)
+        v >>= wide(shift)
+        out[j] = v & wide((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(len(packed), -1)[:, :n]
 
 
 def decode_range(payload: bytes, starts: list[int], n_ids: int, begin: int, end: int) -> np.ndarray:
@@ -80,26 +106,25 @@ def decode_range(payload: bytes, starts: list[int], n_ids: int, begin: int, end:
 def decode_blocks(payload: bytes, starts: list[int], n_ids: int) -> np.ndarray:
     """The n_ids ids of the blocks that begin at starts again. Blocks of one width are unpacked together."""
     ids = np.zeros(n_ids, dtype="<u4")
-    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for k, at in enumerate(starts):
-        groups.setdefault((payload[at + 4], min(BLOCK, n_ids - k * BLOCK)), []).append((k, at))
-    raw = np.frombuffer(payload, np.uint8)
-    for (width, n), blocks in groups.items():
-        size = -(-n * width // 8)
-        at = np.array([a for _, a in blocks])
-        low = raw[at[:, None] + np.arange(4)].copy().view("<u4")
-        values = np.zeros((len(blocks), n), np.uint32)
-        if width:
-            bits = np.unpackbits(raw[at[:, None] + _HEAD.itemsize + np.arange(size)], axis=1, bitorder="little")[:, : n * width].reshape(len(blocks), n, width)
-            wide = np.zeros((len(blocks), n, 32), np.uint8)
-            wide[:, :, :width] = bits
-            values = np.packbits(wide, axis=2, bitorder="little").view("<u4").reshape(len(blocks), n)
-        for row, (k, a) in enumerate(blocks):
-            if count := int(raw[a + 5]) | int(raw[a + 6]) << 8:
-                where = raw[a + _HEAD.itemsize + size :][:count]
-                high = np.frombuffer(payload, "<u4", count, a + _HEAD.itemsize + size + count)
-                values[row, where] += (high.astype(np.uint64) << np.uint64(width)).astype(np.uint32)
-            ids[k * BLOCK : k * BLOCK + n] = values[row] + low[row, 0]
+    if not starts:
+        return ids
+    raw, starts = np.frombuffer(payload, np.uint8), np.array(starts)
+    heads = raw[starts[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
+    sizes = np.full(len(starts), BLOCK)
+    sizes[-1] = n_ids - BLOCK * (len(starts) - 1)
+    for width, n in {*zip(heads["width"].tolist(), sizes.tolist())}:
+        some = np.flatnonzero((heads["width"] == width) & (sizes == n))
+        at, size, counts = starts[some] + _HEAD.itemsize, -(-n * width // 8), heads["exceptions"][some].astype(np.int64)
+        values = _unpack(np.lib.stride_tricks.sliding_window_view(raw, size)[at], n, width) if size else np.zeros((len(some), n), np.uint32)
+        row = np.repeat(np.arange(len(some)), counts)
+        nth, first = np.arange(len(row)) - (np.cumsum(counts) - counts)[row], (at + size)[row]
+        high = raw[(first + counts[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+        values[row, raw[first + nth]] += (high.astype(np.uint64) << np.uint64(width)).astype(np.uint32)
+        values += heads["minimum"][some, None]
+        if n == BLOCK:
+            ids[: len(ids) // BLOCK * BLOCK].reshape(-1, BLOCK)[some] = values
+        else:
+            ids[-n:] = values[0]
     return ids
 
 

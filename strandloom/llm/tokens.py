@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +122,9 @@ class Encoder:
         words += {w for _, w, _ in marked if w not in memo and w not in here}
         hard += {m for _, _, m in marked if m not in memo}
         tokenize, show = self.tokenizer.model.tokenize, self.shown.__getitem__
-        lists = [[t.id for t in tokenize("".join(map(show, (w.lower() if self.lower else w).encode())))] for w in words]
+        shown = map(str.lower, words) if self.lower else words
+        space = self.shown[32]  # of ASCII, words hold letters, which stand for themselves, and this
+        lists = ([t.id for t in tokenize(w.replace(" ", space) if w.isascii() else "".join(map(show, w.encode())))] for w in shown)
         memo.update(zip(words, _packed(lists)))
         memo.update(zip(hard, _packed(self._whole(hard))))
         for chunk, word, marks in marked:
@@ -132,11 +134,14 @@ class Encoder:
         return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
 
-def _packed(lists: list[list[int]]) -> list[bytes]:
-    """Each list as little-endian unsigned 32-bit bytes."""
-    ends = np.cumsum([0, *map(len, lists)]) * 4
-    flat = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1] // 4).tobytes()
-    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+def _packed(lists: Iterable[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit bytes. Lists that are made one by one don't live long enough for garbage collection to look at."""
+    ids, ends = [], [0]
+    for each in lists:
+        ids += each
+        ends.append(4 * len(ids))
+    flat = np.array(ids, "<u4").tobytes()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _spaced_chunks(text: str) -> str:

@@ -67,6 +67,26 @@ def test_blocks_round_trip(ids):
     assert token_files.decode_blocks(payload, starts, len(ids)).tolist() == ids
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 255, 256])
+def test_packed_bits_are_those_of_plain_numbers(n):
+    r = random.Random(n)
+    for width in range(33):
+        rows = [[r.getrandbits(32) for _ in range(n)] for _ in range(3)]
+        low = [[x & ((1 << width) - 1) for x in row] for row in rows]
+        packed = token_files._pack(np.array(rows, np.uint32), width)
+        assert packed == [sum(x << (width * i) for i, x in enumerate(row)).to_bytes(-(-n * width // 8), "little") for row in low]
+        assert token_files._unpack(np.frombuffer(b"".join(packed), np.uint8).reshape(3, -1), n, width).tolist() == low
+
+
+def test_blocks_of_several_widths_with_exceptions():
+    r = np.random.default_rng(5)
+    ids = np.concatenate([np.where(r.random(256) < share, r.integers(0, 2**32, 256), r.integers(0, 2**bits, 256)) for bits in (0, 3, 8, 17, 32) for share in (0, 0.05, 0.5)] + [r.integers(0, 9, 100)]).astype(np.uint32)
+    payload, starts = token_files.encode_blocks(ids)
+    assert len({payload[at + 4] for at in starts}) > 4
+    for k in range(len(starts)):
+        assert token_files.decode_blocks(payload, starts[k:], len(ids) - 256 * k).tolist() == ids[256 * k :].tolist()
+
+
 def test_blocks_round_trip_random_and_pack():
     r = np.random.default_rng(3)
     ids = np.where(r.random(10_000) < 0.05, r.integers(0, 2**32, 10_000), r.integers(100, 400, 10_000)).astype(np.uint32)
