@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_ended
         for batch in slices(batches, 1_000):
-            ids, counts = encode(batch.column(1).to_pylist(), end_id)
+            ids, counts = encode(batch.column(1), end_id)
             several = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), several)
             piece = np.arange(len(row)) - (np.cumsum(several) - several)[row]

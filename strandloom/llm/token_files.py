@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches, 1_000):
-            ids, counts = encode(batch.column(1).to_pylist(), end_id)
+            ids, counts = encode(batch.column(1), end_id)
             at = 0
             for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 doc_ids.append(doc_id)

@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,6 +31,33 @@ def test_encoder_is_the_tokenizer(path, monkeypatch):
     assert [len(x) for x in encoder.encode([])] == [0, 0]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_a_word_is_learned_once_whatever_marks_follow(path):
+    encoder = Encoder(path)
+    encoder.encode(["the word, a word.\nno café; the word", "a word... the café!)"])
+    assert {*encoder.memo} == {"the", " word", ",", " a", ".", "\n", "no", " café", ";", " the", "a", "...", "!)"}
+
+
+def test_chunks_are_cut_at_white_space_and_before_marks():
+    r = random.Random(6)
+    texts = ["".join(r.choices([" ", "\n", "\t", "a", "Zé", "×", "É", "中", "1", ",", "'", "'s", "!?"], k=r.randrange(9))) for _ in range(3000)]
+    want = [re.findall(r" ?[^ \t\n]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+", text) for text in texts]
+    want = [[part for chunk in chunks for part in re.split(r"(?<=[A-Za-zÉé])(?=[,!?])", chunk)] for chunks in want]
+    bounds = np.cumsum([0, *(len(text.encode()) for text in texts)])
+    raw = "".join(texts).encode()
+    begins = [*tokens.chunk_begins(raw, bounds).tolist(), len(raw)]
+    assert [raw[a:b].decode() for a, b in zip(begins[:-1], begins[1:])] == [chunk for chunks in want for chunk in chunks]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_slices_of_arrow_columns_are_encoded_as_lists_are(path):
+    texts = ["naïve café", "", "\0", "a, b", "", "x\xa0y", "end"]
+    for kind in (pa.string(), pa.large_string()):
+        for a, b in ((0, 7), (2, 6), (1, 2), (4, 4), (6, 7)):
+            got, want = Encoder(path).encode(pa.array(texts, kind)[a:b]), Encoder(path).encode(texts[a:b])
+            assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 def test_best_fit_fills_the_fullest_bin_and_closes_it_first():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 5, 4, 8, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 5)]
