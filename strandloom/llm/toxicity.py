@@ -6,17 +6,19 @@ in documents labelled toxic, those with a feature that is much more frequent amo
 Weights and transitions maximise the likelihood of the labelled sequences. Forward-backward marginals of a document's tokens give its score (a
 logistic function of their largest value and of how many are expected) and its offending offsets.
 
-The model is fitted on the driver from a bounded sample of labelled rows; each executor scores whole documents.
+The model is fitted in one task from a bounded sample of labelled rows, so that the driver holds no texts, only the model; each executor scores whole documents.
 Null and empty texts, and texts without letters, score as no toxic token does. An empty table gives no rows; without any labelled rows
 of both kinds every score is the share of toxic ones (0 without rows). Repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +161,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Tagger:
     share = float(np.mean(toxic)) if toxic else 0.0
     if not 0 < share < 1:
         return Tagger({}, 0.0, np.zeros((2, 2)), np.zeros(0), share)
-    docs = [TOKEN.findall(t or "") for t in texts]
+    once: dict[str, str] = {}  # a word is one object, however often it stands
+    docs = [[once.setdefault(w, w) for w in TOKEN.findall(t or "")] for t in texts]
     labels = label_tokens(docs, toxic)
     cut = [(words[i : i + SEQUENCE], own[i : i + SEQUENCE]) for words, own in zip(docs, labels) for i in range(0, len(words), SEQUENCE)]
     marked = [s for s in cut if s[1].any()]
@@ -184,8 +187,8 @@ def _fit_field(sequences: list[tuple[list[str], np.ndarray]]) -> tuple[dict[str,
     tokens = np.array([vocabulary.setdefault(w.lower(), len(vocabulary)) for words, _ in sequences for w in words], np.int64)
     truth = np.concatenate([own for _, own in sequences]).astype(float)
     names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for w, i in vocabulary.items() for f in features(w)]
-    of_word, of_feature = np.array(pairs, np.int64).T
+    pairs = ((i, names.setdefault(f, len(names))) for w, i in vocabulary.items() for f in features(w))
+    of_word, of_feature = np.fromiter(chain.from_iterable(pairs), np.int64).reshape(-1, 2).T
     seen = np.bincount(of_feature, np.bincount(tokens, minlength=len(vocabulary))[of_word], len(names)) >= 2
     keep = seen[of_feature]
     of_word, of_feature = of_word[keep], of_feature[keep]
@@ -213,7 +216,7 @@ def _fit_field(sequences: list[tuple[list[str], np.ndarray]]) -> tuple[dict[str,
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_A_KIND) -> Tagger:
-    """Fit on at most sample labelled rows of each kind, the least by a hash of their id; labels must hold training rows only.
+    """Fit, in one task, on at most sample labelled rows of each kind, the least by a hash of their id; labels must hold training rows only.
 
     An id with several labels has the greatest, and of documents that share an id the text with the least hash is taken, so that ids bound the rows.
     Rows with a null id or label are left out.
@@ -222,8 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     kinds = [rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]))  # 2 * sample rows at most
-    got = one_text_an_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")).toArrow().sort_by("id")
-    return fit(got["text"].to_pylist(), got["y"].to_pylist())
+    got = one_text_an_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")).select("id", "y", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("id", pa.int64()), ("y", pa.int32()), ("text", pa.string())])).sort_by("id")
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows["text"].to_pylist(), rows["y"].to_pylist()))], pa.binary())], ["tagger"])
+
+    found = got.repartition(1).mapInArrow(run, "tagger binary").first()
+    return pickle.loads(found["tagger"]) if found else fit([], [])
 
 
 def score(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans_from: float = 0.5, score_col: str = "__score", spans_col: str = "__spans") -> DataFrame:

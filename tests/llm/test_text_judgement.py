@@ -1,4 +1,5 @@
 import itertools
+import os
 import re
 
 import numpy as np
@@ -196,6 +197,18 @@ def test_tagger_learns_and_points(spark):
     assert toxicity.fit([], []).score(np.zeros(0)) == 0.0 and toxicity.fit(["a"], [1]).score(np.zeros(1)) == 1.0
 
 
+def test_tagger_is_fitted_in_a_task_and_is_the_same(spark, monkeypatch):
+    rows = synthetic(200, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (None, "zorkabc")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, 0), (901, 1)], "doc_id long, toxic int")
+    got, want = toxicity.train(docs, labels), toxicity.fit([*[t for _, t, _ in rows], None], [*[y for *_, y in rows], 0])
+    assert got.weights and got.weights == want.weights and got.bias == want.bias and (got.scale == want.scale).all() and (got.trans == want.trans).all()
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.train(none, labels).share == toxicity.train(docs, labels.where("false")).share == 0
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: toxicity.Tagger({}, 0.0, np.zeros((2, 2)), np.zeros(0), os.getpid()))
+    assert toxicity.train(docs, labels).share not in (0, os.getpid())  # the driver's process fits nothing
+
+
 def test_copies_of_a_toxic_text_do_not_make_its_words_toxic():
     r = np.random.default_rng(5)
     word = lambda: "".join(r.choice(list("abcdefgh"), 6))
