@@ -141,7 +141,7 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> Da
     definition goes node by node.
     """
     order = F.struct((-F.col("length")).alias("l"), F.col("name").alias("n"))
-    ranked = nodes.select("name", order.alias("rank"))
+    ranked = cut(nodes.select("name", order.alias("rank")))  # read three times
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     earlier = both.join(ranked.select(F.col("name").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("name").alias("b"), F.col("rank").alias("rb")), "b").where("rb < ra").select("a", "b", "rb")
     earlier = cut(earlier)
@@ -184,9 +184,13 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 8 << 20
 
 
+def side_is_small(df: DataFrame, row_bytes: int) -> bool:
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
 def side(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, which is cut from its lineage, as a side of a join: broadcast if its rows, counted, are small, and else shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if side_is_small(df, row_bytes) else df
 
 
 def partition_agreement(rows: DataFrame, truth: str, found: str) -> DataFrame:

@@ -37,13 +37,14 @@ def stretches(seqs: DataFrame, wanted: DataFrame, key: str, ids: list[str], name
 def _shared_places(contigs: DataFrame, references: DataFrame, top: DataFrame, config: Config) -> DataFrame:
     """contig, name, length, reference, qpos, pos: places of the k-mers, minima of windows, that contigs share with the reference they lie on."""
     k, w = config.kmer, config.resolved_window()
+    hashing = (k, config.hash, config.seed, True)
 
-    def kernel(seq: bytes):
-        return kernels.minimizer_places(kernels.kmer_hashes(seq, k, config.hash, config.seed), w)
+    def kernel(seq: bytes, hashes: np.ndarray):
+        return kernels.minimizer_places(hashes, w)
 
     own = contigs.join(top.select("contig", "reference"), "contig").select("contig", "name", F.length("seq").cast("long").alias("length"), "reference", "seq")
-    found = sketch.kernel_rows(own, ["contig", "name", "length", "reference"], kernel, [("hash", "long"), ("qpos", "long")])
-    index = sketch.kernel_rows(references.select(F.col("name").alias("reference"), "seq"), ["reference"], kernel, [("hash", "long"), ("pos", "long")])
+    found = sketch.kernel_rows(own, ["contig", "name", "length", "reference"], kernel, [("hash", "long"), ("qpos", "long")], hashing)
+    index = sketch.kernel_rows(references.select(F.col("name").alias("reference"), "seq"), ["reference"], kernel, [("hash", "long"), ("pos", "long")], hashing)
     return found.join(seeds.without_hot(index, config.ignore_top_percent), ["reference", "hash"])
 
 

@@ -16,6 +16,8 @@ from strandloom.operators import intervals, seeds
 from strandloom.operators.analytics import side
 
 KEYS = ["query", "frag", "genome", "contig"]
+#: Candidates whose windows are Python lists at a time.
+WINDOW_ROWS = 128
 
 
 def minimum_hits_table(sketches: DataFrame, config: Config) -> DataFrame:
@@ -85,7 +87,7 @@ def scored(candidates: DataFrame, sketches: DataFrame, minimizers: DataFrame, co
     joined = grouped.join(whole, ["query", "frag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, WINDOW_ROWS) for b in batches for at in range(0, b.num_rows, WINDOW_ROWS)):
             lengths, firsts, lasts = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("frag_len", "first", "last"))
             sketch, *held = (_slices(batch.column(batch.schema.names.index(c))) for c in ("sketch", *parts))
             if minmer:
