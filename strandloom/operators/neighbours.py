@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from strandloom.operators.analytics import cut
 
 #: Queries and vectors of a group, at most on average; queries and vectors whose products are made at a time.
-QUERIES, VECTORS, TILE = 8_192, 16_384, 1_024
+QUERIES, VECTORS, TILE = 8_192, 32_768, 1_024
+#: Pairs that wait until the best are sorted out of them, for each query on average.
+WAITING = 8
 #: Scores are rounded to so many digits; products by another order of sums differ by far less than SLACK.
 DIGITS, SLACK = 6, 1e-9
 
@@ -38,8 +40,18 @@ class _Best:
         self.row = np.zeros(0, np.int64)
         self.at, self.key, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.bound = np.full(n, -np.inf)  # products below it change nothing
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, row: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        self.waiting.append((row, at, score))
+        if np.isinf(self.bound[0]) or sum(len(w[0]) for w in self.waiting) > WAITING * self.n:
+            self.sort()
+
+    def sort(self) -> None:
+        if not self.waiting:
+            return
+        row, at, score = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting = []
         units = _rounded(score)
         key = np.sign(units) * ((np.abs(units) + self.unit // 2) // self.unit)
         row, at, key, score = (np.concatenate(x) for x in ((self.row, row), (self.at, at), (self.key, key), (self.score, score)))
@@ -77,8 +89,8 @@ def _group(k: int, digits: tuple[int, ...]):
             while at < len(ci):
                 near = direction @ unit[:, at : at + size]
                 for b in best.values():
-                    row, column = np.nonzero(near >= b.bound[:, None])
-                    column = column + at
+                    row, column = np.divmod(np.flatnonzero((near >= b.bound[:, None]).ravel()), near.shape[1])
+                    column += at
                     kept = names[row] != ci[column]
                     row, column = row[kept], column[kept]
                     if len(row):
@@ -87,6 +99,8 @@ def _group(k: int, digits: tuple[int, ...]):
                             score += y[column] * x[row]
                         b.add(row, column, score / (cn[column] * length[row]))
                 at, size = at + size, min(TILE, size if not at else size * 2)
+            for b in best.values():
+                b.sort()
             out += [(names[b.row], ci[b.at], b.score, np.full(len(b.row), d)) for d, b in best.items()]
         query, candidate, score, kind = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query": query, "candidate": candidate, "score": score, "digits": kind.astype(np.int32)})
