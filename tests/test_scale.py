@@ -1,6 +1,8 @@
 """What bounds memory and repeated work where tables are large."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 from strandloom.config import Config
 from strandloom.functions import kernels as kn
 from strandloom.operators import sketch
-from strandloom.plans import compare
+from strandloom.plans import compare, registry
 
 def dna(r, n, letters="ACGT"):
     return "".join(r.choices(letters, k=n))
@@ -66,3 +68,16 @@ def test_rows_of_a_batch_are_bounded(spark):
     got = [x.n for x in sketch.minimizers(rows, ["contig"], 12, 2).mapInArrow(sizes, "n long").collect()]
     assert sum(got) > sketch.ROWS >= max(got) and len(got) > 5
     assert list(sketch._pieces([b"A" * 50_000] * 5)) == [(0, 2), (2, 4), (4, 5)]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_threshold_queries_read_kept_pairs(spark):
+    nodes, pairs = registry._averaged(spark, DATA)
+    assert "MapInArrow" not in plan(pairs) + plan(nodes) and "parquet" not in plan(pairs) + plan(nodes).lower()
+    assert "MapInArrow" not in plan(registry._genome_pairs(spark, DATA))
