@@ -81,3 +81,12 @@ def test_threshold_queries_read_kept_pairs(spark):
     nodes, pairs = registry._averaged(spark, DATA)
     assert "MapInArrow" not in plan(pairs) + plan(nodes) and "parquet" not in plan(pairs) + plan(nodes).lower()
     assert "MapInArrow" not in plan(registry._genome_pairs(spark, DATA))
+
+
+def test_bottom_minimizers_are_those_of_all_rows(spark):
+    r = random.Random(7)
+    rows = spark.createDataFrame([("g%d" % (i % 3), dna(r, r.randrange(0, 300))) for i in range(80)] + [(None, dna(r, 90)), ("g1", None)], "genome string, seq string").repartition(3)
+    for size in (1, 20, 5000):
+        got = sketch.bottom_minimizers(rows, "genome", size, 8, 4, "md5_60").collect()
+        want = sketch.bottom_sketch(sketch.minimizers(rows, ["genome"], 8, 4, "md5_60"), "genome", size).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and got
