@@ -90,3 +90,32 @@ def test_bottom_minimizers_are_those_of_all_rows(spark):
         got = sketch.bottom_minimizers(rows, "genome", size, 8, 4, "md5_60").collect()
         want = sketch.bottom_sketch(sketch.minimizers(rows, ["genome"], 8, 4, "md5_60"), "genome", size).collect()
         assert sorted(map(str, got)) == sorted(map(str, want)) and got
+
+
+@pytest.mark.parametrize("k", [3, 12, 13, 31, 32])
+def test_md5_of_kmers_keeps_bounded_tables(monkeypatch, k):
+    monkeypatch.setattr(kn, "SLOTS", 64)
+    monkeypatch.setattr(kn, "MD5_BLOCK", 50)
+    monkeypatch.setattr(kn, "_kept", {})
+    by = lambda x: int(hashlib.md5(x).hexdigest()[:15], 16)
+    seq = (dna(random.Random(k), 400) + "NAC" + dna(random.Random(k), 200) + "ACGT" * 10).encode()
+    for only_acgt in (True, False, True):
+        want = []
+        for i in range(len(seq) - k + 1):
+            x = seq[i : i + k]
+            one, other = by(x), by(x.translate(bytes.maketrans(b"ACGT", b"TGCA"))[::-1])
+            want.append(int(kn.NONE) if one == other or only_acgt and b"N" in x else min(one, other))
+        assert kn.kmer_hashes(seq, k, "md5_60", only_acgt=only_acgt).tolist() == want
+    assert len(kn._kept[k][0]) == (4**k if k <= 12 else 64)
+
+
+def test_density_of_repeated_contigs(spark):
+    r = random.Random(8)
+    texts = [dna(r, 200) for _ in range(20)]
+    rows = [(i % 17, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1]), (40, "ACG"), (41, texts[3])]
+    table = spark.createDataFrame(rows, "contig long, seq string")
+    want = {}
+    for x in sketch.minimizers(table, ["contig"], 12, 8, "md5_60").collect():
+        want.setdefault(x.contig, []).append((x.hash, x.pos))
+    got = {x.contig: tuple(x)[1:] for x in sketch.density(table, "contig", 12, 8, "md5_60").collect()}
+    assert got == {c: (len(m), len({h for h, _ in m}), min(p for _, p in m), max(p for _, p in m), sum(h % 1000003 for h, _ in m)) for c, m in want.items()}
