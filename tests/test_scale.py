@@ -119,3 +119,8 @@ def test_density_of_repeated_contigs(spark):
         want.setdefault(x.contig, []).append((x.hash, x.pos))
     got = {x.contig: tuple(x)[1:] for x in sketch.density(table, "contig", 12, 8, "md5_60").collect()}
     assert got == {c: (len(m), len({h for h, _ in m}), min(p for _, p in m), max(p for _, p in m), sum(h % 1000003 for h, _ in m)) for c, m in want.items()}
+
+
+def test_range_join_shuffles_no_minimizers(spark):
+    found = registry.candidate_range_join(spark, DATA)
+    assert "SortMergeJoin" not in plan(found) and "LeftSemi" in plan(found)
