@@ -124,3 +124,18 @@ def test_density_of_repeated_contigs(spark):
 def test_range_join_shuffles_no_minimizers(spark):
     found = registry.candidate_range_join(spark, DATA)
     assert "SortMergeJoin" not in plan(found) and "LeftSemi" in plan(found)
+
+
+def test_minmer_intervals_of_pieces(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices("ACGT" * 8 + "N", k=r.randrange(0, 400))) for _ in range(30)] + ["", "ACGT" * 30, "A" * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "contig long, seq string").coalesce(1)
+    want = []
+    for i, t in enumerate(texts):
+        for run in re.finditer("[ACGT]+", t):
+            if len(run[0]) >= 6 + 15 - 1:
+                want += [(i, h, run.start() + a, run.start() + b) for h, a, b in kn.minmer_intervals(kn.kmer_hashes(run[0].encode(), 6), 15, 4)]
+    got = [tuple(x) for x in sketch.minmer_intervals(rows, ["contig"], 6, 15, 4).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 500
+    some = np.array(sorted({x[1] for x in want})[::3], np.uint64)
+    assert sorted(tuple(x) for x in sketch.minmer_intervals(rows, ["contig"], 6, 15, 4, only=some).collect()) == sorted(x for x in want if x[1] in set(some.tolist()))
